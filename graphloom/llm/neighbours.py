@@ -213,7 +213,8 @@ class Neighbours:
 
     def top(self, k: int, floor: float, **how) -> DataFrame:
         """id, other, similarity, place (1 .. k): the k best others of every id with a similarity of ``floor`` or more."""
-        sims, _, _ = self.scratch.cut(self.similarities(self.candidates(k, floor, **how)).where(F.col("similarity") >= floor))
+        pairs, _, _ = self.scratch.cut(self.candidates(k, floor, **how))  # read three times below
+        sims, _, _ = self.scratch.cut(self.similarities(pairs).where(F.col("similarity") >= floor))
         names = self.rows.select("c", "id").groupBy("c", "id").agg(F.count(F.lit(1)).alias("n")).select("c", "id")
         inside = Window.partitionBy("c").orderBy("id")
         # of a class only its first k + 1 ids can be anyone's neighbours; the limit is applied before the exchange
