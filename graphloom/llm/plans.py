@@ -84,4 +84,12 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_similar, p6_ids, p6_counts, p7_containers, p7_fill, p8_found, p8_levels)}
-SQL: dict[str, str] = {}
+#: brute force over all pairs of a model
+SQL = {
+    "p2_found": f"""
+WITH v AS (SELECT id, embedding_model AS m, any_value(embedding::DOUBLE[]) AS e FROM existing_nodes WHERE len(embedding) > 0 AND id IS NOT NULL AND embedding_model IS NOT NULL
+  AND NOT list_bool_or([isnan(x) for x in embedding]) AND list_bool_or([x <> 0 for x in embedding]) GROUP BY 1, 2),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.m = b.m AND a.id <> b.id AND len(a.e) = len(b.e)),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS k FROM s WHERE s >= {MIN_SIMILARITY})
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= {NEIGHBOURS}"""
+}

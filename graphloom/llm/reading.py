@@ -32,6 +32,7 @@ HEADING = re.compile(r"^\s*(?:#{1,6}|={1,6})\s")
 CODE_LINE = re.compile(
     r"[{};]\s*$|^\s*(?:func|package|import|return|type|var|const|def|class|if|for|switch|case|go|defer|SELECT|MATCH|WHERE|RETURN|WITH|CREATE|MERGE|ORDER|LIMIT|FROM)\b(?=.*[(){}\[\]=:*]|\s+[\"(])|:=|^\s*//|^\s*[\w.]+\(.*\)\s*$|^\s*[\]})]|^\s*[\"'{\[]"
 )
+STAMP = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 LOG_LINE = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d|\b(?:INFO|WARN|DEBUG|ERROR|TRACE|FATAL)\b.*=|(?:\w+=\S+\s*){2,}")
 TABLE_LINE = re.compile(r"^\s*\||\|\s*$|\t\S+\t|^(?:[^,;\n]{0,40}[,;]){4,}[^,;\n.]*$|^[-+=|:\s]+$")
 #: a line of words alone: none of the other patterns can tell more of it
@@ -69,7 +70,7 @@ class _Tokens(dict):
         word = ""
         if PLAIN.match(bare) and not INNER_CAPITAL.search(bare):
             word = bare.lower().replace("’", "'")
-        elif bare.isalpha():  # letters of other scripts stay, to tell the language
+        elif not bare.isascii() and bare.isalpha():  # letters of other scripts stay, to tell the language
             word = bare.lower()
         if word in ENGLISH:
             mark |= OURS
@@ -124,7 +125,7 @@ def prose_sentences(text: str) -> list[tuple[list[str], int]]:
         if fenced or not line.strip():
             close()
             continue
-        if HEADING.match(line) or ((TABLE_LINE.search(line) or LOG_LINE.search(line) or CODE_LINE.search(line)) and not _reads(line)):
+        if HEADING.match(line) or STAMP.match(line) or ((TABLE_LINE.search(line) or LOG_LINE.search(line) or CODE_LINE.search(line)) and not _reads(line)):
             close()
             continue
         if bullet := BULLET.match(line):
