@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_WINDOWS = 384
+GROUP_WINDOWS = 768
 GROUP_ITEMS = 16_384
 #: a window filled to this share is kept while the others are differenced again
 KEEP_FILL = 0.995
