@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from graphloom.shared import Scratch
 
 FAMILIAR_WORDS = 300
-LONG_SENTENCE = 35
 LEAST_ENGLISH = 0.12
 MIN_WORDS = 20
 MAX_LABELS = 5_000
@@ -141,7 +140,7 @@ def _reads(line: str) -> bool:
     return len(words) >= 5 and sum(w & OURS for w in words) >= 0.25 * OURS * len(words)
 
 
-FEATURES = "doc_id long, words int, sentences int, nested int, long_sentences int, terms array<string>, counts array<int>"
+FEATURES = "doc_id long, words int, sentences int, nested int, terms array<string>, counts array<int>"
 
 
 def _features(doc_id: int, text: str | None) -> tuple:
@@ -154,7 +153,6 @@ def _features(doc_id: int, text: str | None) -> tuple:
         sum(terms.values()),
         len(sentences),
         sum(n for _, n in sentences),
-        sum(len(w) > LONG_SENTENCE for w, _ in sentences),
         list(terms),
         list(terms.values()),
     )
@@ -164,23 +162,24 @@ def prose_profiles(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """One row per document with its prose counts and its words; documents without prose have zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "words", "sentences", "nested", "long_sentences", "terms", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        names = ["doc_id", "words", "sentences", "nested", "terms", "counts"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = [_features(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FEATURES)
 
 
 # ---- fitting and scoring
 
-#: weights of (1, unfamiliar share, words a sentence, openers a sentence, openers a word, share of long sentences,
-#: learned word level) where there are no labels: the two terms of the formula alone
-UNFITTED = np.array([-4.5, 14.0, 0.07, 0.0, 0.0, 0.0, 0.0])
-LEVELS_UNFITTED = np.array([1.5, 5.0, 0.04, 0.0, 0.0, 0.0, 0.0])
+#: weights of (1, unfamiliar share, words a sentence, openers a sentence, learned word level) where there are no labels:
+#: the two terms of the formula alone
+UNFITTED = np.array([-4.5, 14.0, 0.07, 0.0, 0.0])
+LEVELS_UNFITTED = np.array([1.5, 5.0, 0.04, 0.0, 0.0])
+RIDGE = 1.0
 #: labelled documents that a word must stand in before its level counts in full
 SHRINK = 4.0
 
@@ -216,12 +215,12 @@ class ReadingModel:
         level = np.array([self.levels.get(w, 0.0) for w in names] or [0.0])
         words = np.maximum(1, table.column("words").to_numpy())
         sentences = np.maximum(1, table.column("sentences").to_numpy())
-        nested, long = table.column("nested").to_numpy(), table.column("long_sentences").to_numpy()
+        nested = table.column("nested").to_numpy()
         learned = _sums(level[code] * n, offsets) / words if own is None else own
-        return np.stack([np.ones(len(words)), _sums(strange[code] * n, offsets) / words, words / sentences, nested / sentences, nested / words, long / sentences, learned], axis=1)
+        return np.stack([np.ones(len(words)), _sums(strange[code] * n, offsets) / words, words / sentences, nested / sentences, learned], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     mean, spread = x[:, 1:].mean(axis=0), x[:, 1:].std(axis=0) + 1e-9
     z = np.concatenate([x[:, :1], (x[:, 1:] - mean) / spread], axis=1)
     w = np.zeros(z.shape[1])
