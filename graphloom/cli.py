@@ -1,4 +1,4 @@
-"""Command line: ``analyze`` a source folder, ``import`` a graph document, ``query`` a stored graph."""
+"""Command line: ``analyze`` a source folder, ``import`` or ``serve`` a graph document, ``query`` a stored graph."""
 
 from __future__ import annotations
 
@@ -25,7 +25,15 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--store", required=True)
     q.add_argument("tool")
     q.add_argument("arguments", nargs="*", help="name=value")
+    v = sub.add_parser("serve", help="a graph document over HTTP")
+    v.add_argument("--graph", default="graph.json")
+    v.add_argument("--port", type=int, default=8080)
     args = p.parse_args(argv)
+    if args.command == "serve":
+        from graphloom.sources.http_view import make_server
+
+        make_server(args.graph, args.port).serve_forever()
+        return 0
     spark = local_session()
     from graphloom.graph import CodeGraph
     from graphloom.plans.tools import Tools

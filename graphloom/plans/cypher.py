@@ -383,7 +383,8 @@ class Engine:
         self.spark = g.nodes.sparkSession
         self.parameters = {"workspace": workspace} | (parameters or {})
         self.scratch = Scratch(self.spark, "cypher")
-        self.nodes = self.g.nodes.select(F.struct(*NODE_COLUMNS).alias("v"))
+        # the metadata map as text: values with maps can't be grouped or compared
+        self.nodes = self.g.nodes.withColumn("metadata", F.to_json("metadata")).select(F.struct(*NODE_COLUMNS).alias("v"))
         self._edges: DataFrame | None = None
 
     @property

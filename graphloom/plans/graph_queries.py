@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.canonical import canonical_hex, stripped
+from graphloom.functions.canonical import canonical_hex, canonical_type, stripped
+from graphloom.functions.mock_embedding import embedded_nodes, mock_provider
 from graphloom.graph import CodeGraph
 from graphloom.operators import impact, merge, paths, patterns, search, summaries
+from graphloom.plans.cypher import run_cypher
 from graphloom.plans.general import KIND
+from graphloom.plans.sql_query import sql_query
+from graphloom.shared import Scratch
+from graphloom.sources.go_extract import Extraction, facts
 
 COMPONENT = "function:tallyvine/core/common.Wrapf"
 PACKAGE = "tallyvine/core/common"
@@ -325,3 +331,60 @@ SQL["merge_embeddings"] = (
 j AS (SELECT split_part(w.id, ':', 1) AS type, coalesce(NOT (s.h = w.h AND len(s.embedding) > 0), true) AS regenerate FROM w LEFT JOIN s ON s.id = w.id AND s.k = 1 AND s.h IS NOT NULL)
 SELECT type, regenerate, count(*) AS ids FROM j GROUP BY 1, 2"""
 )
+
+# ---- Cypher and SQL texts, as users write them
+
+
+def _cypher(name: str, text: str, sql: str) -> None:
+    _add(name, lambda g: run_cypher(g, text), sql)
+
+
+_cypher("cypher_usage", "MATCH (a)-[:RELATES_TO {type: 'calls'}]->(t:CodeNode) WITH t, count(*) AS n WHERE n > 1 RETURN t.id AS id, n", "SELECT t_id AS id, count(*) AS n FROM h WHERE type = 'calls' GROUP BY 1 HAVING count(*) > 1")
+_cypher("cypher_unused_private", "MATCH (f:CodeNode {type: 'function', visibility: 'private'}) WHERE NOT (f)<-[:RELATES_TO {type: 'calls'}]-() RETURN f.id AS id", "SELECT id FROM n WHERE type = 'function' AND visibility = 'private' AND id NOT IN (SELECT target FROM e WHERE type = 'calls')")
+_cypher(
+    "cypher_interface_counts",
+    "MATCH (i:CodeNode {type: 'interface'}) OPTIONAL MATCH (s)-[:RELATES_TO {type: 'implements'}]->(i) RETURN i.id AS id, count(s) AS n",
+    "SELECT n.id, count(e.source) AS n FROM n LEFT JOIN e ON e.target = n.id AND e.type = 'implements' WHERE n.type = 'interface' GROUP BY 1",
+)
+_cypher("cypher_incident", "MATCH (a:CodeNode {type: 'package'})-[r]-(b) RETURN a.id AS id, r.type AS kind, count(DISTINCT b.id) AS n", ", w AS (SELECT u.source, u.target, u.type FROM u WHERE source IN (SELECT id FROM n WHERE type = 'package') AND target IN (SELECT id FROM n)) SELECT source AS id, type AS kind, count(DISTINCT target) AS n FROM w GROUP BY 1, 2")
+_cypher("cypher_two_hops", "MATCH (p:CodeNode {type: 'struct'})-[:RELATES_TO {type: 'has_method'}]->(m)-[:RELATES_TO {type: 'has_parameter'}]->(x) RETURN p.id AS id, count(*) AS n", "SELECT a.s_id AS id, count(*) AS n FROM h a JOIN h b ON b.s_id = a.t_id WHERE a.type = 'has_method' AND a.s_type = 'struct' AND b.type = 'has_parameter' GROUP BY 1")
+_add(
+    "sql_query",
+    lambda g: sql_query(g, "SELECT n.package, count(*) AS calls FROM {edges} e JOIN {nodes} n ON n.id = e.source WHERE e.type = :kind GROUP BY n.package", {"kind": "calls"}),
+    "SELECT n.package, count(*) AS calls FROM ea e JOIN n ON n.id = e.source WHERE e.type = 'calls' GROUP BY 1",
+)
+
+# ---- streams and sources
+
+
+def stream_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by type and month, kept by a stream over the files of the edge table until they are all read."""
+    schema = spark.read.parquet(f"{sf_dir}/edges.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/edges.parq*")
+    typed = stream.select(F.date_trunc("month", "created_at").alias("month"), canonical_type(F.col("type")).alias("type")).groupBy("month", "type").agg(F.count(F.lit(1)).alias("edges"))
+    name = f"counts_{uuid.uuid4().hex}"
+    run = typed.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", Scratch(spark, "stream").path()).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+def go_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of all source files by package and type."""
+    files = spark.read.parquet(f"{sf_dir}/source_files.parquet").groupBy("package", "filename").agg(F.max_by("content", "file_id").alias("content"))
+    nodes = Extraction(facts(files)).nodes()
+    return nodes.where("package <> 'builtin'").groupBy("package", "type").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def go_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf_dir}/source_files.parquet").groupBy("package", "filename").agg(F.max_by("content", "file_id").alias("content"))
+    return Extraction(facts(files)).edges().groupBy("type").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def mock_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = CodeGraph.load(spark, sf_dir).nodes
+    return embedded_nodes(nodes, mock_provider(64)).select("id", F.size("embedding").alias("dimensions"))
+
+
+QUERIES |= {"stream_type_counts": stream_type_counts, "go_extract": go_extract, "go_edges": go_edges, "mock_embedding": mock_vectors}
+SQL["stream_type_counts"] = f"SELECT date_trunc('month', created_at)::TIMESTAMP AS month, {KIND} AS type, count(*) AS edges FROM edges GROUP BY 1, 2"
+SQL["mock_embedding"] = BASE + "SELECT id, CASE WHEN semantic_summary <> '' THEN 64 END AS dimensions FROM n WHERE type IN ('function', 'method', 'struct', 'interface')"

@@ -12,6 +12,7 @@ from graphloom.functions.mock_embedding import Provider, mock_provider
 from graphloom.operators import impact, patterns, paths, search
 from graphloom.plans.cypher import CypherError, run_cypher
 from graphloom.plans.router import detect_architecture, find_patterns, route
+from graphloom.plans.sql_query import explained
 from graphloom.sources.go_extract import analyze_codebase, module_path
 from graphloom.sources.store import GraphStore
 
@@ -65,7 +66,7 @@ class Tools:
         except CypherError as e:
             return Result(f"query failed: {e}", error=True)
         if explain:
-            return Result(df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+            return Result(explained(df))
         return self._rows(df, "Query results")
 
     def _natural_query(self, question: str, workspace: str, context: str | None = None) -> Result:

@@ -583,6 +583,18 @@ class FileParser:
             i = j if j > i else i + 1
 
 
+def type_descriptor(package: str, text: str) -> dict:
+    """Kind and flags of a type expression, as the type_info of a node states them."""
+    p = FileParser(package, "", text)
+    generic = "[" in text and re.match(r"^[*]?[\w.]+\[", text) is not None
+    x = p.type_() if p.toks and p.peek() != ";" else TypeRef("", "")
+    way = {"chan": "both", "<-chan": "receive", "chan<-": "send"}.get(x.text.split(" ")[0], "") if x.kind == "chan" else ""
+    return {
+        "kind": x.kind, "is_pointer": x.pointer, "is_slice": x.kind == "slice", "is_array": x.kind == "array", "is_channel": x.kind == "chan", "channel_dir": way, "is_generic": generic, "underlying_type": x.full,
+        "method_set": [m for m, _ in x.methods], "field_count": len(x.fields), "embedded_types": [e.text for e in x.embedded], "is_exported": x.named.rsplit(".", 1)[-1][:1].isupper(),
+    }
+
+
 FIELDS = {
     "kind": "string", "package": "string", "filename": "string", "line": "int", "col": "int", "ord": "int", "id": "string", "owner": "string", "name": "string", "target": "string", "type_name": "string",
     "text": "string", "full": "string", "doc": "string", "size": "int", "complexity": "int", "pointer": "boolean", "embedded": "boolean", "exported": "boolean", "names": "array<string>",
