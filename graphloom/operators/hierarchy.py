@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.canonical import canonical_type, present
 from graphloom.shared import Scratch
 
 SLOTS = 256
@@ -45,7 +46,7 @@ class Forest:
     def __init__(self, links: DataFrame, parent: Column, child: Column):
         self.spark = links.sparkSession
         self.scratch = Scratch(self.spark, "forest")
-        usable = links.select(parent.alias("parent"), child.alias("child")).where(F.col("parent").rlike(r"\S") & F.col("child").rlike(r"\S"))
+        usable = links.select(parent.alias("parent"), child.alias("child")).where(present(F.col("parent")) & present(F.col("child")))
         one = usable.groupBy("child").agg(F.min("parent").alias("parent"))
         self.links, stats, _ = self.scratch.cut(one, n=F.count(F.lit(1)))
         self.size = stats["n"]
@@ -264,10 +265,7 @@ class Forest:
 def parent_child(edges: DataFrame) -> tuple[DataFrame, Column, Column]:
     """Structural links of an edge table as (rows, parent, child): of has_* edges the source is the parent, of
     method_of and embeds the target; other types are no links."""
-    from graphloom.functions.canonical import canonical_type
-
     kind = canonical_type(F.col("type"))
-    down = kind.isin("has_method", "has_field", "has_parameter")
     rows = edges.select("source", "target", kind.alias("kind")).where(F.col("kind").isin("has_method", "has_field", "has_parameter", "method_of", "embeds"))
     down = F.col("kind").isin("has_method", "has_field", "has_parameter")
     return rows, F.when(down, F.col("source")).otherwise(F.col("target")), F.when(down, F.col("target")).otherwise(F.col("source"))

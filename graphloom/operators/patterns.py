@@ -18,6 +18,14 @@ def _set(c: str, name: str):
     return F.array_join(F.sort_array(F.collect_set(c)), ",").alias(name)
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row frames as one row, without a join."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def usage(g: CodeGraph, least: int = 2) -> DataFrame:
     """Targets of more than one call."""
     sources = g.nodes.select(F.col("id").alias("sid"))
@@ -78,7 +86,7 @@ def store_stats(g: CodeGraph) -> DataFrame:
     kinds = ("package", "function", "method", "struct", "interface")
     n = g.nodes.agg(_count("nodes"), F.countDistinct("type").alias("node_types"), *[F.coalesce(F.sum((F.col("type") == k).cast("long")), F.lit(0)).alias(f"{k}s") for k in kinds])
     e = g.edges.agg(_count("edges"), F.countDistinct("type").alias("edge_types"))
-    return n.crossJoin(e)  # one row each
+    return beside(n, e)
 
 
 def workspace_counts(g: CodeGraph) -> DataFrame:
@@ -373,7 +381,7 @@ def viewer_overview(g: CodeGraph) -> DataFrame:
     n = g.nodes.agg(_count("nodes"), F.coalesce(F.sum((F.col("type") == "package").cast("long")), F.lit(0)).alias("packages"), F.round(F.avg(F.when(c > 0, c)), 1).alias("avgComplexity"))
     ids = g.nodes.select(F.col("id").alias("k"))
     e = g.edges.join(ids, F.col("source") == F.col("k"), "left_semi").join(ids, F.col("target") == F.col("k"), "left_semi").agg(_count("edges"))
-    return n.crossJoin(e)  # one row each
+    return beside(n, e)
 
 
 def type_histogram(g: CodeGraph) -> DataFrame:
@@ -421,7 +429,7 @@ def perf_filter(g: CodeGraph) -> DataFrame:
     keep = F.col("type").isin("package", "struct", "interface") | (F.col("type").isin(*FUNCTIONS) & (F.col("visibility") == "public") & (F.col("complexity") >= 3))
     ids = g.nodes.where(keep).select(F.col("id").alias("k"))
     e = g.rel(*PERFORMANCE_EDGES).join(ids, F.col("source") == F.col("k"), "left_semi").join(ids, F.col("target") == F.col("k"), "left_semi")
-    return ids.agg(_count("nodes")).crossJoin(e.agg(_count("edges")))  # one row each
+    return beside(ids.agg(_count("nodes")), e.agg(_count("edges")))
 
 
 def field_toggle(g: CodeGraph, shown: bool = False) -> CodeGraph:
@@ -433,4 +441,4 @@ def field_toggle(g: CodeGraph, shown: bool = False) -> CodeGraph:
 
 def without_fields(g: CodeGraph) -> DataFrame:
     h = field_toggle(g)
-    return h.nodes.agg(_count("nodes")).crossJoin(h.edges.agg(_count("edges")))  # one row each
+    return beside(h.nodes.agg(_count("nodes")), h.edges.agg(_count("edges")))

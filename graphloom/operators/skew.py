@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.shared import row_count
+from graphloom.functions.canonical import canonical_type, present, stripped
+from graphloom.shared import Scratch, row_count
 
 
 def _leaves(field: T.StructField, c: Column) -> list[Column]:
@@ -28,7 +29,8 @@ def row_fingerprint(df: DataFrame) -> list[Column]:
     Rows are taken as equal when both agree: for 10^12 rows a wrong match has a chance under 10^-14.
     """
     parts = [x for f in df.schema.fields for x in _leaves(f, df[f"`{f.name}`"])]
-    nulls = [F.concat(*[F.when(x.isNull(), "1").otherwise("0") for x in parts])]
+    # which values are null, as bits of as many numbers as it takes: a hash skips nulls
+    nulls = [sum((F.when(x.isNull(), 1 << i).otherwise(0) for i, x in enumerate(parts[at : at + 30])), F.lit(0)) for at in range(0, len(parts), 30)]
     return [F.xxhash64(F.lit(seed), *nulls, *parts) for seed in (17, 4242)]
 
 
@@ -75,8 +77,6 @@ def edge_totals(edges: DataFrame, *, chunk_rows: int = 1 << 18, fan_in: int = 16
     * ``weight`` adds non-null weights (0 if there are none), ``sources`` counts distinct non-blank sources.
     * Extra columns only take part in telling repeated deliveries; an empty table gives no rows.
     """
-    from graphloom.functions.canonical import canonical_type, present, stripped
-
     if rows is None:
         rows = row_count(edges)
     f1, f2 = row_fingerprint(edges)
@@ -107,7 +107,9 @@ def edge_totals(edges: DataFrame, *, chunk_rows: int = 1 << 18, fan_in: int = 16
 
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
-    """Keys with a non-null target holding at least ``share`` of all edges, those without a target included in "all"."""
-    everything = totals.agg(F.sum("edges").alias("all_edges"))
-    joined = totals.crossJoin(F.broadcast(everything))  # one row by construction
-    return joined.where(F.col("target").isNotNull() & (F.col("edges") >= F.col("all_edges") * F.lit(share))).drop("all_edges")
+    """Keys with a non-null target holding at least ``share`` of all edges, those without a target included in "all".
+
+    The totals are written once, and their sum is observed while they are, so nothing is joined or computed again.
+    """
+    kept, seen, _ = Scratch(totals.sparkSession, "totals").cut(totals, all_edges=F.sum("edges"))
+    return kept.where(F.col("target").isNotNull() & (F.col("edges") >= seen["all_edges"] * share))
