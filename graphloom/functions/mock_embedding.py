@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,22 +21,21 @@ def mock_embedding(text: str, dimensions: int = 128) -> list[float]:
     """
     if not text:
         raise ValueError("text is empty")
-    digest = hashlib.sha256(text.encode()).digest()
+    raw = text.encode()
+    digest = hashlib.sha256(raw).digest()
+    seed = int.from_bytes(digest[:8], "big") & 0x7FFF_FFFF_FFFF_FFFF
     chain = digest
+    while len(chain) * 4 < dimensions:
+        chain += hashlib.sha256(chain).digest()
     vowels = sum(c in "aeiouAEIOU" for c in text)
-    out = np.empty(dimensions, dtype=np.float32)
-    for i in range(dimensions):
-        k = i % 4
-        if k == 0:
-            out[i] = len(text.encode()) / 100.0
-        elif k == 1:
-            out[i] = vowels / (len(text.encode()) + 1)
-        elif k == 2:
-            while i // 4 >= len(chain):
-                chain += hashlib.sha256(chain).digest()
-            out[i] = chain[i // 4] / 255.0
-        else:
-            out[i] = math.sin(i * len(text.encode()) / 10.0)
+    # fixed values: the four kinds of slots and their ranges of -1 to 1
+    i = np.arange(dimensions)
+    slots = np.empty(dimensions)
+    slots[0::4] = (len(raw) % 100) / 100.0 * 2.0 - 1.0
+    slots[1::4] = (vowels % 50) / 50.0 * 2.0 - 1.0
+    slots[2::4] = np.frombuffer(chain, dtype=np.uint8)[: len(slots[2::4])] / 255.0 * 2.0 - 1.0
+    slots[3::4] = np.sin(i[3::4] * 0.1 + (seed % 1000) * 0.01)
+    out = slots.astype(np.float32)
     norm = float(np.sqrt((out * out).astype(np.float64).sum()))
     return (out / np.float32(norm)).tolist() if norm else out.tolist()
 

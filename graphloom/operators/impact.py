@@ -7,28 +7,38 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import CodeGraph, named
 
-DELETE_TYPES = ("calls", "uses", "implements", "embeds", "returns", "parameter_type", "constructs", "imports")
-GENERAL_TYPES = (*DELETE_TYPES, "has_method", "has_field", "method_of", "spawns_goroutine")
-IMPACT_NAMES = {"calls": "broken call", "uses": "broken use", "implements": "broken implementation", "embeds": "broken embedding", "returns": "broken return type", "parameter_type": "broken parameter", "constructs": "broken construction", "imports": "broken import"}
+#: fixed values: the edge types an impact is looked for on, and how each is reported when its target goes away
+DELETE_TYPES = ("calls", "uses", "implements", "returns", "embeds", "constructs", "parameter_type", "imports")
+GENERAL_TYPES = ("calls", "uses", "implements", "has_method", "method_of", "returns", "embeds", "constructs", "handles_error", "spawns_goroutine", "parameter_type", "imports")
+IMPACT_NAMES = {
+    "calls": "function_calls_deleted",
+    "implements": "implements_deleted_interface",
+    "embeds": "embeds_deleted_type",
+    "imports": "imports_deleted_package",
+    "returns": "returns_deleted_type",
+    "constructs": "constructs_deleted_type",
+    "parameter_type": "parameter_uses_deleted_type",
+}
+OTHER_IMPACT = "depends_on_deleted_node"
 
 
 def impact_delete(g: CodeGraph, node: str, limit: int | None = 50) -> DataFrame:
     """Nodes that break if ``node`` goes away: one hop against eight edge types."""
     h = g.hop(*DELETE_TYPES, target_where=named(node))
-    label = F.lit("affected")
+    label = F.lit(OTHER_IMPACT)
     for kind, text in IMPACT_NAMES.items():
         label = F.when(F.col("type") == kind, text).otherwise(label)
     out = h.select(
         F.col("s_id").alias("affectedNode"), F.col("s_type").alias("nodeType"), F.col("s_label").alias("name"), F.col("s_package").alias("package"), F.col("type").alias("dependency_type"), label.alias("impact_type")
     ).distinct()
-    return out.orderBy("dependency_type", "affectedNode").limit(limit) if limit else out
+    return out.orderBy("nodeType", "dependency_type", "affectedNode").limit(limit) if limit else out
 
 
 def impact_general(g: CodeGraph, node: str, limit: int | None = 50) -> DataFrame:
     """Nodes one hop from ``node`` in either direction over twelve edge types."""
     h = g.around(*GENERAL_TYPES, source_where=named(node))
     out = h.select(F.col("t_id").alias("relatedNode"), F.col("t_type").alias("nodeType"), F.col("t_label").alias("name"), F.col("t_package").alias("package"), F.col("type").alias("relationship_type")).distinct()
-    return out.orderBy("relationship_type", "relatedNode").limit(limit) if limit else out
+    return out.orderBy("nodeType", "relatedNode", "relationship_type").limit(limit) if limit else out
 
 
 def analyze_impact(g: CodeGraph, node: str, change_type: str = "modify") -> DataFrame:
@@ -36,8 +46,8 @@ def analyze_impact(g: CodeGraph, node: str, change_type: str = "modify") -> Data
 
 
 def find_implementers(g: CodeGraph, interface: str | None = None) -> DataFrame:
-    """Implementers of the interfaces of a name; of all interfaces without one."""
-    h = g.hop("implements", target_where=None if interface is None else named(interface))
+    """Structs that implement the interfaces of a name; all interfaces without one."""
+    h = g.hop("implements", source=("struct",), target=("interface",), target_where=None if interface is None else named(interface))
     return h.select(F.col("s_full_name").alias("implementer"), F.col("s_package").alias("package"), F.col("s_label").alias("name"), F.col("t_full_name").alias("interface")).distinct()
 
 

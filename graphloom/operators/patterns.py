@@ -30,7 +30,7 @@ def usage(g: CodeGraph, least: int = 2) -> DataFrame:
     """Targets of more than one call."""
     sources = g.nodes.select(F.col("id").alias("sid"))
     kept = g.rel("calls").join(sources, F.col("source") == F.col("sid"), "left_semi").groupBy("target").agg(_count("usageCount")).where(F.col("usageCount") >= least)
-    return kept.join(g.nodes, F.col("target") == F.col("id")).select("id", F.col("full_name").alias("targetName"), "package", F.col("type").alias("nodeType"), "usageCount")
+    return kept.join(g.nodes, F.col("target") == F.col("id")).select("id", F.col("label").alias("targetName"), "package", F.col("type").alias("nodeType"), "usageCount")
 
 
 def duplicate_functions(g: CodeGraph) -> DataFrame:
@@ -95,12 +95,14 @@ def workspace_counts(g: CodeGraph) -> DataFrame:
     return g.nodes.where(F.col("workspace").isNotNull()).groupBy("workspace").agg(_count("nodes"), *[F.sum((F.col("type") == k).cast("long")).alias(f"{k}s") for k in kinds], embedded.alias("embedded"))
 
 
-def package_summary(g: CodeGraph) -> DataFrame:
-    """types, functions and methods of every package that has a package node."""
+def package_summary(g: CodeGraph, with_files: bool = False) -> DataFrame:
+    """types, functions and methods of every package that has a package node; files and imports as its metadata says."""
     per = g.nodes.groupBy(F.col("package").alias("path")).agg(
         F.sum(F.col("type").isin(*TYPES).cast("long")).alias("types"), F.sum((F.col("type") == "function").cast("long")).alias("functions"), F.sum((F.col("type") == "method").cast("long")).alias("methods")
     )
-    return g.of("package").select(F.col("label").alias("name"), F.col("package").alias("path")).join(per, "path").select("name", "path", "types", "functions", "methods")
+    extra = [F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit("")).alias(k) for k in ("files", "imports")] if with_files else []
+    own = g.of("package").select(F.col("label").alias("name"), F.col("package").alias("path"), *extra)
+    return own.join(per, "path").select("name", "path", *[c for c in ("files", "imports") if with_files], "types", "functions", "methods")
 
 
 def external(path, module: str = "") -> object:

@@ -46,18 +46,20 @@ def semantic_summaries(g: CodeGraph) -> DataFrame:
     n = g.of("function", "method", "struct", "interface")
     r = n.join(related_labels(g), F.col("id") == F.col("sid"), "left")
     doc = clean_documentation(F.col("documentation"))
-    some = lambda c, word: F.when(F.size(c) > 0, F.concat(F.lit(word + " "), summarize_list(F.col(c))))
+    some = lambda c, word, text: F.when(F.size(c) > 0, F.concat(F.lit(word + ": "), text(F.col(c))))
+    every = lambda c: F.array_join(c, ", ")
+    called = F.col("type").isin("function", "method")
     parts = [
-        F.concat_ws(" ", "type", "label", F.lit("in package"), "package"),
+        F.concat_ws(" ", "type", "label", F.lit("in"), F.coalesce("package", F.lit(""))),
         F.when(doc != "", doc),
-        F.when(F.coalesce(F.col("signature"), F.lit("")) != "", F.concat(F.lit("signature: "), F.col("signature"))),
-        some("l_calls", "calls"),
-        some("l_uses", "uses"),
-        some("l_returns", "returns"),
-        some("l_implements", "implements"),
+        F.when(called & (F.coalesce(F.col("signature"), F.lit("")) != ""), F.col("signature")),
+        some("l_calls", "calls", summarize_list),
+        some("l_uses", "uses", summarize_list),
+        some("l_returns", "returns", every),
+        some("l_implements", "implements", every),
         F.when(F.col("f_handles_error"), F.lit("handles errors")),
         F.when(F.col("f_spawns_goroutine"), F.lit("spawns goroutines")),
-        F.when(F.col("complexity") > 10, F.concat(F.lit("complexity "), F.col("complexity").cast("string"))),
+        F.when(called & (F.col("complexity") > 10), F.concat(F.lit("complexity "), F.col("complexity").cast("string"))),
     ]
     s = r.withColumn("summary", F.concat_ws(". ", *parts))
     return s.select("id", "summary", semantic_hash(F.col("summary")).alias("semantic_hash"), content_hash().alias("content_hash"))

@@ -235,7 +235,7 @@ class Parser:
         while self.word() in ("+", "-"):
             op = self.take()
             right = self.product()
-            text = op == "+" and (left.startswith("'") or right.startswith("'"))
+            text = op == "+" and any(x.startswith(("'", "concat(", "lower(", "upper(", "cast(" if x.endswith("string)") else "'")) for x in (left, right))
             left = f"concat({left}, {right})" if text else f"({left} {op} {right})"
         return left
 

@@ -58,7 +58,7 @@ def _pairs(rel: str, a: str, b: str, more: str = "") -> str:
     return f"SELECT s_id AS {a}, t_id AS {b} FROM h WHERE type = '{rel}' {more} ORDER BY 1, 2 LIMIT 50"
 
 
-_add("usage", patterns.usage, "SELECT t_id AS id, any_value(t_full_name) AS \"targetName\", any_value(t_package) AS package, any_value(t_type) AS \"nodeType\", count(*) AS \"usageCount\" FROM h WHERE type = 'calls' GROUP BY t_id HAVING count(*) > 1")
+_add("usage", patterns.usage, "SELECT t_id AS id, any_value(t_label) AS \"targetName\", any_value(t_package) AS package, any_value(t_type) AS \"nodeType\", count(*) AS \"usageCount\" FROM h WHERE type = 'calls' GROUP BY t_id HAVING count(*) > 1")
 _add("duplicate_functions", patterns.duplicate_functions, f"SELECT label AS \"functionName\", {_set('package')} AS packages, count(DISTINCT package) AS \"duplicateCount\" FROM n WHERE type = 'function' GROUP BY label HAVING count(DISTINCT package) > 1")
 _add("error_handlers", patterns.error_handlers, f"SELECT s_full_name AS \"errorHandler\", s_package AS package, {_set('t_label')} AS \"handledErrors\", count(DISTINCT t_id) AS \"errorTypeCount\" FROM h WHERE type = 'handles_error' AND s_type IN {FUNC} GROUP BY 1, 2")
 _add("goroutine_spawners", patterns.goroutine_spawners, f"SELECT s_full_name AS spawner, s_package AS package, s_complexity AS \"spawnerComplexity\", {_set('t_label')} AS \"goroutineFunctions\", count(DISTINCT t_id) AS \"goroutineCount\" FROM h WHERE type = 'spawns_goroutine' AND s_type IN {FUNC} GROUP BY 1, 2, 3")
@@ -163,14 +163,14 @@ _add("without_fields", patterns.without_fields, "SELECT (SELECT count(*) FROM n
 
 # ---- impact
 IS = lambda name, p="t": f"({p}.id = '{name}' OR {p}.full_name = '{name}' OR {p}.label = '{name}')"
-_broken = "CASE h.type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in impact.IMPACT_NAMES.items()) + " ELSE 'affected' END"
+_broken = "CASE h.type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in impact.IMPACT_NAMES.items()) + f" ELSE '{impact.OTHER_IMPACT}' END"
 _kinds = lambda ts: "(" + ", ".join(f"'{t}'" for t in ts) + ")"
 _hit = lambda name, p: f"{p}_id IN (SELECT t.id FROM n t WHERE {IS(name)})"
-_add("impact_delete", lambda g: impact.impact_delete(g, COMPONENT), f"SELECT DISTINCT s_id AS \"affectedNode\", s_type AS \"nodeType\", s_label AS name, s_package AS package, h.type AS dependency_type, {_broken} AS impact_type FROM h WHERE h.type IN {_kinds(impact.DELETE_TYPES)} AND {_hit(COMPONENT, 't')} ORDER BY dependency_type, \"affectedNode\" LIMIT 50")
+_add("impact_delete", lambda g: impact.impact_delete(g, COMPONENT), f"SELECT DISTINCT s_id AS \"affectedNode\", s_type AS \"nodeType\", s_label AS name, s_package AS package, h.type AS dependency_type, {_broken} AS impact_type FROM h WHERE h.type IN {_kinds(impact.DELETE_TYPES)} AND {_hit(COMPONENT, 't')} ORDER BY \"nodeType\", dependency_type, \"affectedNode\" LIMIT 50")
 AROUND = ", w AS (SELECT u.source, u.type AS type, t.id, t.type AS node_type, t.label, t.package FROM u JOIN n s ON s.id = u.source JOIN n t ON t.id = u.target)"
 _near = lambda name: f"w.source IN (SELECT t.id FROM n t WHERE {IS(name)})"
-_add("impact_general", lambda g: impact.impact_general(g, COMPONENT), AROUND + f" SELECT DISTINCT id AS \"relatedNode\", node_type AS \"nodeType\", label AS name, package, type AS relationship_type FROM w WHERE type IN {_kinds(impact.GENERAL_TYPES)} AND {_near(COMPONENT)} ORDER BY relationship_type, \"relatedNode\" LIMIT 50")
-_add("find_implementers", impact.find_implementers, "SELECT DISTINCT s_full_name AS implementer, s_package AS package, s_label AS name, t_full_name AS interface FROM h WHERE type = 'implements'")
+_add("impact_general", lambda g: impact.impact_general(g, COMPONENT), AROUND + f" SELECT DISTINCT id AS \"relatedNode\", node_type AS \"nodeType\", label AS name, package, type AS relationship_type FROM w WHERE type IN {_kinds(impact.GENERAL_TYPES)} AND {_near(COMPONENT)} ORDER BY \"nodeType\", \"relatedNode\", relationship_type LIMIT 50")
+_add("find_implementers", impact.find_implementers, "SELECT DISTINCT s_full_name AS implementer, s_package AS package, s_label AS name, t_full_name AS interface FROM h WHERE type = 'implements' AND s_type = 'struct' AND t_type = 'interface'")
 _add("neighbourhood", lambda g: impact.neighbourhood(g, COMPONENT), AROUND + f" SELECT DISTINCT id AS neighbour, label, type AS relationship FROM w WHERE source = '{COMPONENT}'")
 _add("incident_types", lambda g: impact.incident_types(g, COMPONENT), AROUND + f" SELECT type, count(*) AS edges FROM w WHERE {_near(COMPONENT)} GROUP BY 1")
 _add("component_callers", lambda g: impact.component_callers(g, HOT), f"SELECT DISTINCT s_id AS caller, s_package AS package, t_id AS callee FROM h WHERE type = 'calls' AND ({_hit(HOT, 't')} OR ends_with(t_full_name, '.{HOT}'))")

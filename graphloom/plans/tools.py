@@ -98,7 +98,9 @@ class Tools:
         return self._rows(impact.find_implementers(self._graph(workspace), interfaceName), f"Implementers of {interfaceName}")
 
     def _trace_call_path(self, start: str, to: str, workspace: str) -> Result:
-        return self._rows(paths.trace_call_path(self._graph(workspace), start, to), f"Call paths from {start} to {to}")
+        found = paths.trace_call_path(self._graph(workspace), start, to).withColumnsRenamed({"path": "callPath", "labels": "callNames", "length": "pathLength"})
+        ends = found.selectExpr("callPath[0] AS fromFunction", "element_at(callPath, -1) AS toFunction", "callPath", "callNames", "pathLength").distinct()
+        return self._rows(ends.orderBy("pathLength", "callPath"), f"Call paths from {start} to {to}")
 
     def _detect_architecture(self, analysisType: str, workspace: str) -> Result:  # noqa: N803
         return self._rows(detect_architecture(self._graph(workspace), analysisType), f"Architecture: {analysisType}")

@@ -24,9 +24,9 @@ NODE = (
 EDGE = f"struct<id:string,source:string,target:string,type:string,weight:int,position:{POSITION},context:string,conditional:boolean,loop_depth:int,metadata:map<string,string>,created_at:timestamp>"
 DOCUMENT = f"graph struct<nodes:array<{NODE}>,edges:array<{EDGE}>,stats:map<string,string>,created_at:string,version:string>"
 #: fixed values of the viewer's configuration
-NODE_COLORS = {"package": "#4CAF50", "struct": "#2196F3", "interface": "#9C27B0", "function": "#FF9800", "method": "#FFC107", "field": "#607D8B", "parameter": "#795548"}
-EDGE_COLORS = {"calls": "#FF5722", "implements": "#9C27B0", "embeds": "#3F51B5", "imports": "#4CAF50", "uses": "#607D8B"}
-LAYOUT = {"name": "cose", "animate": "false"}
+NODE_COLORS = {"package": "#4CAF50", "struct": "#2196F3", "interface": "#FF9800", "function": "#9C27B0", "method": "#E91E63", "field": "#607D8B", "constant": "#795548", "variable": "#009688"}
+EDGE_COLORS = {"calls": "#666666", "implements": "#4CAF50", "imports": "#2196F3", "embeds": "#FF5722", "has_method": "#9C27B0", "has_field": "#607D8B", "uses": "#795548", "returns": "#009688", "has_parameter": "#FFC107"}
+LAYOUT = {"name": "cose", "node_repulsion": 8000, "edge_length": 100, "gravity": 0.1, "num_iter": 1000, "initial_temp": 200, "cooling_factor": 0.95, "min_temp": 1.0}
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +64,7 @@ def write_summary(g: CodeGraph | None, path: str) -> None:
     """``<path>.summary``: totals and one record a package."""
     if g is None:
         raise ValueError("no graph to summarise")
-    packages = [json.loads(r) for r in package_summary(g).orderBy("path").toJSON().toLocalIterator()]
+    packages = [json.loads(r) for r in package_summary(g, with_files=True).orderBy("path").toJSON().toLocalIterator()]
     totals = {"total_nodes": g.nodes.count(), "total_edges": g.edges.count(), "packages": packages}
     with open(path + ".summary", "w", encoding="utf-8") as out:
         json.dump(totals, out, indent=2)

@@ -77,7 +77,7 @@ def test_summaries(g, spark):
     got = spark.createDataFrame(docs, "d string, want string").select(summaries.clean_documentation(F.col("d")).alias("g"), "want").collect()
     assert [r["g"] for r in got][:2] == [d[1] for d in docs][:2] and len(got[2]["g"].encode()) <= 200 and got[2]["g"].endswith(".")
     s = {r["id"]: r["summary"] for r in summaries.semantic_summaries(g).collect()}
-    assert s["f2"] == "function Fn2 in package p. signature: Fn2() error. calls Fn3. handles errors"
+    assert s["f2"] == "function Fn2 in p. Fn2() error. calls: Fn3. handles errors"
     names = [("my_function", "MyFunction"), ("123function", "Function"), ("", ""), ("a-b c", "ABC")]
     got = spark.createDataFrame(names, "n string, want string").select(summaries.rel_name(F.col("n")).alias("g"), "want").collect()
     assert all(r["g"] == r["want"] for r in got)

@@ -33,7 +33,7 @@ def test_json_round_trip(spark, tmp_path):
     nodes, edges = read_graph_json(spark, path)
     assert sorted(r["id"] for r in nodes.collect()) == sorted(r["id"] for r in g.nodes.collect()) and edges.count() == 2
     with open(path + ".summary") as f:
-        assert json.load(f)["packages"] == [{"name": "p", "path": "p", "types": 0, "functions": 2, "methods": 0}]
+        assert json.load(f)["packages"] == [{"name": "p", "path": "p", "files": "", "imports": "", "types": 0, "functions": 2, "methods": 0}]
     for bad in (write_graph_json, write_summary):
         with pytest.raises(ValueError):
             bad(None, path)
@@ -97,7 +97,7 @@ def test_tools(spark, tmp_path):
     assert not first.error and first.rows[0]["struct"] == 20
     w = {"workspace": "my-mod"}
     assert [r["name"] for r in t.run("find_implementers", interfaceName="I", **w).rows] == ["S"]
-    assert t.run("trace_call_path", **{"from": "Run", "to": "M"}, **w).rows[0]["length"] == 1
+    assert t.run("trace_call_path", **{"from": "Run", "to": "M"}, **w).rows[0]["pathLength"] == 1
     assert t.run("cypher_query", query="MATCH (f:CodeNode {type: 'function'}) RETURN f.label AS l ORDER BY l", **w).rows == [{"l": "NewS"}, {"l": "Run"}]
     assert "Physical Plan" in t.run("cypher_query", query="MATCH (f) RETURN f.label", explain=True, **w).text
     assert t.run("cypher_query", query="DROP ALL", **w).error
