@@ -98,3 +98,13 @@ def test_link_direction(spark):
     rows = [("s", "f", "HasField"), ("m", "s", "METHOD_OF"), ("e", "s", "embeds"), ("a", "b", "calls")]
     df, p, c = parent_child(spark.createDataFrame(rows, "source string, target string, type string"))
     assert sorted(map(tuple, df.select(p, c).collect())) == [("s", "e"), ("s", "f"), ("s", "m")]
+
+
+def test_clashing_columns(spark):
+    links = [("a", "b"), ("b", "c"), ("a", "d")]
+    df = spark.createDataFrame(links, "p string, c string").withColumns({x: F.lit("x") for x in ("parent", "child", "n", "id", "kind", "low", "e", "nxt")})
+    f = Forest(df, F.col("p"), F.col("c"))
+    assert sorted(map(tuple, f.depths().collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 1)]
+    asked = spark.createDataFrame([(1, "a", 9, "x")], "id int, node string, most int, descendant string")
+    got = f.descendants(asked, F.col("node"), F.col("most"), ["id", "node"]).collect()
+    assert sorted((r["id"], r["node"], r["descendant_id"], r["distance"]) for r in got) == [(1, "a", "b", 1), (1, "a", "c", 2), (1, "a", "d", 1)]

@@ -66,3 +66,9 @@ def test_generic_states(spark):
     df = spark.range(1000).select(F.lit("k").alias("k"), F.col("id"))
     got = tree_aggregate(df, ["k"], ["id"], {"top": F.max("id"), "n": F.count("id")}, {"top": F.max("top"), "n": F.sum("n")}, rows=1000, chunk_rows=10, fan_in=3).first()
     assert (got["top"], got["n"]) == (999, 1000)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame(rows(200), SCHEMA)
+    extra = df.withColumns({c: F.lit(1) for c in ("s1", "s2", "f1", "f2", "w", "n", "edges", "sources", "__leaf", "all_edges")})
+    assert sorted(map(str, edge_totals(extra, chunk_rows=20, fan_in=2).collect())) == sorted(map(str, edge_totals(df).collect()))

@@ -65,3 +65,10 @@ def test_notations(spark):
     kinds = [("HasMethod", "has_method"), ("HAS_METHOD", "has_method"), (" has-method ", "has_method"), ("calls", "calls"), (None, None)]
     got = spark.createDataFrame(kinds, "k string, want string").select(canonical_type(F.col("k")).alias("g"), "want").collect()
     assert all(r["g"] == r["want"] for r in got)
+
+
+def test_clashing_columns(spark):
+    data = [("w", n, f"k{i}", str(i * n % 3), 1, "") for n in (1, 2, 3) for i in range(20) if (i + n) % 4]
+    df = spark.createDataFrame(data, SCHEMA)
+    extra = df.withColumns({c: F.lit("x") for c in ("scope", "key", "ord", "last", "state", "no", "next_no", "change", "loaded", "top")})
+    assert changes(extra) == changes(df) == brute(data)
