@@ -40,6 +40,8 @@ class Forest:
     * of several parents of a node the smallest id holds (a forest has none);
     * a link from a node to itself is a loop of one node;
     * nodes on a loop, or below one, get depth -1, the smallest id on the loop as root, and null entry and exit;
+      with ``loops=True`` descendants cover them too: each loop is cut above its smallest id, which makes a tree of
+      all that hangs on it, and what the cut link would have reached is added by going round;
     * a root has depth 0 and itself as root; no links give an empty forest; other columns are not read.
     """
 
@@ -50,6 +52,7 @@ class Forest:
         one = usable.groupBy("child").agg(F.min("parent").alias("parent"))
         self.links, stats, _ = self.scratch.cut(one, n=F.count(F.lit(1)))
         self.size = stats["n"]
+        self._open = None
         for seed in (11, 23, 37):
             try:
                 self._build(seed)
@@ -69,8 +72,9 @@ class Forest:
             raise HashCollision
         up = self.links.select(_number(F.col("child"), seed).alias("n"), _number(F.col("parent"), seed).alias("p"))
         self.up, _, _ = cut(up)
-        self.loops = self._loops(self._peel())
-        self.tours = self._rank(self._successors()) if seen["roots"] else None
+        self.loops, self.ring = self._loops(self._peel())
+        up = self.up if self.loops is None else self.up.join(self.loops.select("n"), "n", "left_anti")
+        self.tours = self._rank(self._successors(up, self.names.where("below = 0").select("n"))) if seen["roots"] else None
 
     # ---- peeling
 
@@ -88,10 +92,10 @@ class Forest:
             count = seen["n"]
         return None
 
-    def _loops(self, left: DataFrame | None) -> DataFrame | None:
-        """n, root (the smallest id on the loop) of every node on or below a loop."""
+    def _loops(self, left: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """n, root (the smallest id on the loop) of every node on or below a loop; n of those on one."""
         if left is None:
-            return None
+            return None, None
         start = left.join(self.names.select("n", "id"), "n").select("n", "p", F.col("id").alias("low"))
         state, seen, old = self.scratch.cut(start)
         images = -1
@@ -108,16 +112,19 @@ class Forest:
             check = after.agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("low") != F.col("then_low"), 1).otherwise(0)).alias("odd")).first()
             if check["k"] == images and not check["odd"]:
                 # no leaf was peeled, so images are the loops; equal neighbouring windows cover a loop, so low is its least
-                return nxt.select("n", F.col("above").alias("root"))
+                return nxt.select("n", F.col("above").alias("root")), nxt.select(F.col("image").alias("n")).distinct()
             self.scratch.drop(old)
             old, images = path, check["k"]
             state = nxt.select("n", "p", "low")
 
     # ---- Euler tours
 
-    def _successors(self) -> DataFrame:
-        """e, nxt (0 at the end of a list), w (step), c (elements it stands for) for the tours of all trees."""
-        up = self.up if self.loops is None else self.up.join(self.loops.select("n"), "n", "left_anti")
+    def _cuts(self) -> DataFrame:
+        """n of the smallest id on each loop, whose link to its parent is the one that is cut."""
+        return self.loops.join(self.names.select("n", "id"), "n").where(F.col("id") == F.col("root")).select("n")
+
+    def _successors(self, up: DataFrame, tops: DataFrame) -> DataFrame:
+        """e, nxt (0 at the end of a list), w (step), c (elements it stands for) for the tours of the trees below ``tops``."""
         # brothers are chained in the order of their numbers; a node with very many children is split into slots
         slotted = up.select("n", "p", F.shiftright("n", 56).alias("slot"))
         heads = slotted.groupBy("p", "slot").agg(F.min("n").alias("head"))
@@ -129,7 +136,7 @@ class Forest:
         kids = kids.join(heads.select("p", "slot", "after"), ["p", "slot"], "left")
         kids = kids.select("n", "p", F.coalesce("brother", "after").alias("brother"))
         firsts = heads.groupBy("p").agg(F.first("first").alias("first"))
-        roots = self.names.where("below = 0").select("n", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("brother"))
+        roots = tops.select("n", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("brother"))
         nodes = kids.unionAll(roots).join(firsts.withColumnRenamed("p", "q"), F.col("n") == F.col("q"), "left")
         leave = F.coalesce(F.col("brother"), F.col("p").bitwiseOR(F.lit(1)), F.lit(0))
         leaf = F.col("first").isNull()
@@ -165,9 +172,9 @@ class Forest:
 
     # ---- results
 
-    def _intervals(self) -> DataFrame:
+    def _intervals(self, tours: DataFrame) -> DataFrame:
         """n, root (number), depth, entry, exit of every node of a tree. Entries and exits count from 0 within a tree."""
-        one = self.tours.select(
+        one = tours.select(
             F.col("e").bitwiseAND(F.lit(-2)).alias("n"),
             F.col("end").bitwiseAND(F.lit(-2)).alias("root"),
             F.when(F.col("e").bitwiseAND(F.lit(1)) == 0, F.struct("c", "w")).alias("enter"),
@@ -179,6 +186,18 @@ class Forest:
         entry = F.col("total") - F.col("enter.c")
         return placed.select("n", "root", (-F.col("enter.w")).cast("int").alias("depth"), entry.alias("entry"), F.coalesce(F.col("total") - F.col("leave"), entry + 1).alias("exit"))
 
+    def _opened(self) -> DataFrame:
+        """The intervals of the nodes on and below loops, each loop cut above its smallest id, and of those on a loop
+        its length (lap) and the places of the whole tour (total)."""
+        if self._open is None:
+            tops, _, _ = self.scratch.cut(self._cuts())
+            up = self.up.join(self.loops.select("n"), "n", "left_semi").join(tops, "n", "left_anti")
+            placed, _, _ = self.scratch.cut(self._intervals(self._rank(self._successors(up, tops))))
+            on = placed.join(self.ring, "n", "left_semi").select("n", "root", "exit")
+            laps = on.groupBy("root").agg(F.count(F.lit(1)).alias("lap"), (F.max("exit") + 1).alias("total"))
+            self._open, _, _ = self.scratch.cut(placed.join(on.join(laps, "root").select("n", "lap", "total"), "n", "left"))
+        return self._open
+
     def depths(self) -> DataFrame:
         """node_id, root_id, depth of every node: what needs no interval is read off the ranks of the entries alone."""
         parts = []
@@ -192,7 +211,7 @@ class Forest:
         """node_id, parent_id, root_id, depth, entry, exit of every node that is an end of a link."""
         parts = []
         if self.tours is not None:
-            placed = self._named(self._intervals().withColumnRenamed("root", "r"))
+            placed = self._named(self._intervals(self.tours).withColumnRenamed("root", "r"))
             parts.append(placed.select("node_id", "root_id", "depth", "entry", "exit"))
         every = self._with_loops(parts, ["entry", "exit"])
         up = self.links.select(F.col("child").alias("c"), F.col("parent").alias("parent_id"))
@@ -239,24 +258,35 @@ class Forest:
             old = path
         return state.select("node_id", "path")
 
-    def descendants(self, requests: DataFrame, node: Column, max_depth: Column, keep: list[str]) -> DataFrame:
+    def descendants(self, requests: DataFrame, node: Column, max_depth: Column, keep: list[str], loops: bool = False) -> DataFrame:
         """``keep`` columns of each request with descendant_id and distance (1 .. max_depth) of its node.
 
-        Requests whose node is unknown, or on or below a loop, give no rows; a null max_depth means no bound. Tours
+        Requests whose node is unknown give no rows; a null max_depth means no bound. Those whose node is on or below a
+        loop give rows only with ``loops``: each other node that links lead down to once, at its least distance. Tours
         are laid end to end in blocks of BLOCK places, a request asks only the blocks its interval meets, and block
-        numbers are the join key: no tree, however large, meets in one task.
+        numbers are the join key: no tree, however large, meets in one task. A node on a loop asks for what lies outside
+        its interval as well, which is reached by going round to the place of the cut.
         """
-        if self.tours is None:
+        parts = [] if self.tours is None else [self._intervals(self.tours).select("*", F.lit(None).cast("long").alias("lap"), F.lit(None).cast("long").alias("total"))]
+        if loops and self.loops is not None:
+            parts.append(self._opened().select("n", "root", "depth", "entry", "exit", "lap", "total"))
+        if not parts:
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*keep).schema.fields)
             return self.spark.createDataFrame([], f"{fields}, descendant_id string, distance int")
-        placed, _, _ = self.scratch.cut(self._intervals())
+        placed, _, _ = self.scratch.cut(parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1]))
         asked = requests.select(*[F.col(c).alias(f"k_{c}") for c in keep], node.alias("wanted"), max_depth.cast("int").alias("most"))
         at = self.names.select("n", F.col("id").alias("wanted"))
-        spot = asked.join(at, "wanted").join(placed, "n").select(*[f"k_{c}" for c in keep], "most", "root", F.col("depth").alias("d0"), "entry", "exit")
-        spot = spot.where(F.col("exit") > F.col("entry") + 1).withColumn("block", F.explode(F.sequence(F.expr(f"entry div {BLOCK}"), F.expr(f"exit div {BLOCK}"))))
+        span = lambda low, high, shift: F.struct(low.alias("low"), high.alias("high"), shift.cast("int").alias("shift"))
+        own = span(F.col("entry") + 1, F.col("exit") - 1, -F.col("depth"))
+        round_ = F.col("lap") - F.col("depth")
+        before, after = span(F.lit(0).cast("long"), F.col("entry") - 1, round_), span(F.col("exit") + 1, F.col("total") - 1, round_)
+        spans = F.when(F.col("lap").isNull(), F.array(own)).otherwise(F.array(own, before, after))
+        spot = asked.join(at, "wanted").join(placed, "n").select(*[f"k_{c}" for c in keep], "most", "root", F.explode(spans).alias("s")).select("*", "s.*").drop("s")
+        spot = spot.where((F.col("low") <= F.col("high")) & (F.col("most").isNull() | (F.col("shift") <= F.col("most"))))
+        spot = spot.withColumn("block", F.explode(F.sequence(F.expr(f"low div {BLOCK}"), F.expr(f"high div {BLOCK}"))))
         below = placed.select(F.col("n"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("entry").alias("x"), F.expr(f"entry div {BLOCK}").alias("blk"))
-        near = (F.col("root") == F.col("r")) & (F.col("block") == F.col("blk")) & (F.col("x") > F.col("entry")) & (F.col("x") < F.col("exit"))
-        distance = F.col("d") - F.col("d0")
+        near = (F.col("root") == F.col("r")) & (F.col("block") == F.col("blk")) & F.col("x").between(F.col("low"), F.col("high"))
+        distance = F.col("d") + F.col("shift")
         met = spot.join(below, near).where(F.col("most").isNull() | (distance <= F.col("most")))
         named = met.join(self.names.select("n", F.col("id").alias("descendant_id")), "n")
         return named.select(*[F.col(f"k_{c}").alias(c) for c in keep], "descendant_id", distance.alias("distance"))

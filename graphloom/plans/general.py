@@ -47,10 +47,10 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descendants of the node of every request down to its max_depth; repeated requests count once."""
+    """Descendants of the node of every request, on and below loops too, down to its max_depth; repeated requests count once."""
     asked = table(spark, sf_dir, "impact_requests").where("request_id IS NOT NULL").dropDuplicates()
     depth = F.when(F.col("max_depth") > 0, F.col("max_depth")).otherwise(F.lit(DEFAULT_DEPTH))
-    return _forest(spark, sf_dir).descendants(asked, F.col("node_id"), depth, ["request_id"])
+    return _forest(spark, sf_dir).descendants(asked, F.col("node_id"), depth, ["request_id"], loops=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

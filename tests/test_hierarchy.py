@@ -108,3 +108,35 @@ def test_clashing_columns(spark):
     asked = spark.createDataFrame([(1, "a", 9, "x")], "id int, node string, most int, descendant string")
     got = f.descendants(asked, F.col("node"), F.col("most"), ["id", "node"]).collect()
     assert sorted((r["id"], r["node"], r["descendant_id"], r["distance"]) for r in got) == [(1, "a", "b", 1), (1, "a", "c", 2), (1, "a", "d", 1)]
+
+
+def reached(links, start, most):
+    """Each node once, at its least number of steps down from ``start``; brute force."""
+    parent, _ = brute(links)
+    found, front = {start: 0}, [start]
+    for k in range(1, len(parent) + 1 if most is None else most + 1):
+        front = [c for c, p in parent.items() if p in front and c not in found]
+        found.update(dict.fromkeys(front, k))
+    return {n: k for n, k in found.items() if n != start}
+
+
+def test_descendants_on_and_below_loops(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "BLOCK", 16)
+    links = mixed(5) + [("l7", "twig"), ("twig", "leaf")]
+    nodes = ["l0", "l3", "l8", "tail0", "tail20", "self", "under", "one", "two", "twig", "c10", "star", "unknown"]
+    asked = [(i, n, most) for i, (n, most) in enumerate((n, most) for n in nodes for most in (1, 3, 9, 500, None))]
+    got = forest(spark, links).descendants(spark.createDataFrame(asked, "request_id int, node string, most int"), F.col("node"), F.col("most"), ["request_id"], loops=True)
+    found = sorted((r["request_id"], r["descendant_id"], r["distance"]) for r in got.collect())
+    assert found == sorted((i, d, k) for i, n, most in asked for d, k in reached(links, n, most).items())
+    only = forest(spark, [("a", "b"), ("b", "a")])
+    asked = spark.createDataFrame([(1, "a", 2)], "request_id int, node string, most int")
+    assert [tuple(r) for r in only.descendants(asked, F.col("node"), F.col("most"), ["request_id"], loops=True).collect()] == [(1, "b", 1)]
+
+
+def test_impact_query_covers_loops(spark, tmp_path):
+    from graphloom.plans.general import p4_impact
+
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")]
+    spark.createDataFrame([(p, c, "has_field") for p, c in links], "source string, target string, type string").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(1, "a", 2), (2, "c", None)], "request_id long, node_id string, max_depth int").write.parquet(f"{tmp_path}/impact_requests.parquet")
+    assert sorted(map(tuple, p4_impact(spark, str(tmp_path)).collect())) == [(1, "b", 1), (1, "c", 2), (2, "d", 1)]
