@@ -40,7 +40,7 @@ class Forest:
     * of several parents of a node the smallest id holds (a forest has none);
     * a link from a node to itself is a loop of one node;
     * nodes on a loop, or below one, get depth -1, the smallest id on the loop as root, and null entry and exit;
-      with ``loops=True`` descendants cover them too: each loop is cut above its smallest id, which makes a tree of
+      with ``loops=True`` the results cover them too: each loop is cut above its smallest id, which makes a tree of
       all that hangs on it, and what the cut link would have reached is added by going round;
     * a root has depth 0 and itself as root; no links give an empty forest; other columns are not read.
     """
@@ -207,15 +207,24 @@ class Forest:
             parts.append(self._named(ranked).select("node_id", "root_id", "depth"))
         return self._with_loops(parts, [])
 
-    def nodes(self) -> DataFrame:
-        """node_id, parent_id, root_id, depth, entry, exit of every node that is an end of a link."""
+    def nodes(self, loops: bool = False) -> DataFrame:
+        """node_id, parent_id, root_id, depth, entry, exit, descendants of every node that is an end of a link.
+
+        With ``loops``, nodes on and below loops have descendants, and entry and exit in the tour of the cut loop. A
+        node on a loop has all others of the loop and below it as descendants, more than its interval holds.
+        """
         parts = []
+        inside = ((F.col("exit") - F.col("entry") - 1) / 2).cast("long")
         if self.tours is not None:
             placed = self._named(self._intervals(self.tours).withColumnRenamed("root", "r"))
-            parts.append(placed.select("node_id", "root_id", "depth", "entry", "exit"))
-        every = self._with_loops(parts, ["entry", "exit"])
+            parts.append(placed.select("node_id", "root_id", "depth", "entry", "exit", inside.alias("descendants")))
+        if loops and self.loops is not None:
+            placed = self._opened().drop("root", "depth").join(self.loops, "n").join(self.names.select("n", F.col("id").alias("node_id")), "n")
+            count = F.coalesce((F.col("total") / 2 - 1).cast("long"), inside)
+            parts.append(placed.select("node_id", F.col("root").alias("root_id"), F.lit(-1).alias("depth"), "entry", "exit", count.alias("descendants")))
+        every = self._with_loops(parts, ["entry", "exit", "descendants"], done=loops)
         up = self.links.select(F.col("child").alias("c"), F.col("parent").alias("parent_id"))
-        return every.join(up, F.col("node_id") == F.col("c"), "left").select("node_id", "parent_id", "root_id", "depth", "entry", "exit")
+        return every.join(up, F.col("node_id") == F.col("c"), "left").select("node_id", "parent_id", "root_id", "depth", "entry", "exit", "descendants")
 
     def _named(self, df: DataFrame) -> DataFrame:
         """Numbers n and r to node_id and root_id; the roots are the smaller table."""
@@ -223,8 +232,8 @@ class Forest:
         roots = self.names.where("below = 0").select(F.col("n").alias("rn"), F.col("id").alias("root_id"))
         return df.join(names, "n").join(roots, F.col("r") == F.col("rn"))
 
-    def _with_loops(self, parts: list[DataFrame], extra: list[str]) -> DataFrame:
-        if self.loops is not None:
+    def _with_loops(self, parts: list[DataFrame], extra: list[str], done: bool = False) -> DataFrame:
+        if self.loops is not None and not done:
             looped = self.loops.join(self.names.select("n", F.col("id").alias("node_id")), "n")
             parts.append(looped.select("node_id", F.col("root").alias("root_id"), F.lit(-1).alias("depth"), *[F.lit(None).cast("long").alias(c) for c in extra]))
         if not parts:
@@ -235,28 +244,39 @@ class Forest:
             out = out.unionAll(p)
         return out
 
-    def paths(self) -> DataFrame:
+    def paths(self, loops: bool = False) -> DataFrame:
         """node_id, path: ids from the root down to the node. Nodes on or below loops are left out.
 
+        With ``loops`` they are there too, with the path from the smallest id on the loop, and a third column, ring,
+        has the number of ids at the start of the path that are on a loop (0 in a tree).
         Paths are put together by doubling, so a chain of length L takes log2(L) rounds.
         """
-        links = self.links
-        names = self.names
+        links, names = self.links.withColumn("ring", F.lit(0)), self.names
+        tops = names.where("below = 0").select("id", F.lit(0).alias("ring"))
         if self.loops is not None:
-            bad = self.loops.join(names.select("n", "id"), "n").select(F.col("id").alias("child"))
-            links = links.join(bad, "child", "left_anti")
-        start = links.select(F.col("child").alias("node_id"), F.col("parent").alias("up"), F.array("child").alias("path"))
-        roots = names.where("below = 0").select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("up"), F.array("id").alias("path"))
+            looped = self.loops.join(names.select("n", "id"), "n")
+            bad = looped.select(F.col("id").alias("child"))
+            if loops:
+                on = self.ring.join(names.select("n", "id"), "n").select(F.col("id").alias("child"), F.lit(1).alias("one"))
+                cuts = looped.where(F.col("id") == F.col("root")).select(F.col("id").alias("child"))
+                links = self.links.join(cuts, "child", "left_anti").join(on, "child", "left").select("child", "parent", F.coalesce("one", F.lit(0)).alias("ring"))
+                tops = tops.unionAll(cuts.select(F.col("child").alias("id"), F.lit(1).alias("ring")))
+            else:
+                links = links.join(bad, "child", "left_anti")
+        start = links.select(F.col("child").alias("node_id"), F.col("parent").alias("up"), F.array("child").alias("path"), "ring")
+        roots = tops.select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("up"), F.array("id").alias("path"), "ring")
         state, seen, old = self.scratch.cut(start.unionAll(roots), open=F.sum(F.col("up").isNotNull().cast("long")))
         while seen["open"]:
             a, b = state.alias("a"), state.alias("b")
             joined = a.join(b, F.col("a.up") == F.col("b.node_id"), "left")
             met = F.col("b.node_id").isNotNull()
-            nxt = joined.select(F.col("a.node_id").alias("node_id"), F.col("b.up").alias("up"), F.when(met, F.concat("b.path", "a.path")).otherwise(F.col("a.path")).alias("path"))
-            state, seen, path = self.scratch.cut(nxt, open=F.sum(F.col("up").isNotNull().cast("long")))
+            path = F.when(met, F.concat("b.path", "a.path")).otherwise(F.col("a.path"))
+            ring = F.when(met, F.col("b.ring") + F.col("a.ring")).otherwise(F.col("a.ring"))
+            nxt = joined.select(F.col("a.node_id").alias("node_id"), F.col("b.up").alias("up"), path.alias("path"), ring.alias("ring"))
+            state, seen, at = self.scratch.cut(nxt, open=F.sum(F.col("up").isNotNull().cast("long")))
             self.scratch.drop(old)
-            old = path
-        return state.select("node_id", "path")
+            old = at
+        return state.select("node_id", "path", "ring") if loops else state.select("node_id", "path")
 
     def descendants(self, requests: DataFrame, node: Column, max_depth: Column, keep: list[str], loops: bool = False) -> DataFrame:
         """``keep`` columns of each request with descendant_id and distance (1 .. max_depth) of its node.

@@ -37,13 +37,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent, root, depth and number of descendants of every node, from the intervals."""
-    nodes = _forest(spark, sf_dir).nodes()
-    return nodes.select("node_id", "parent_id", "root_id", "depth", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"))
+    """Parent, root, depth and number of descendants of every node, from the intervals; depth is -1 on and below loops."""
+    return _forest(spark, sf_dir).nodes(loops=True).select("node_id", "parent_id", "root_id", "depth", "descendants")
 
 
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forest(spark, sf_dir).paths().select("node_id", F.array_join("path", " > ").alias("path"))
+    """The path of every node from its root; on and below loops ``loop(...)`` marks the ids that are on the loop."""
+    rest = F.slice("path", F.col("ring") + 1, F.size("path"))
+    looped = F.concat(F.lit("loop("), F.array_join(F.slice("path", 1, F.col("ring")), " > "), F.lit(")"))
+    looped = F.concat_ws(" > ", looped, F.when(F.size(rest) > 0, F.array_join(rest, " > ")))
+    return _forest(spark, sf_dir).paths(loops=True).select("node_id", F.when(F.col("ring") > 0, looped).otherwise(F.array_join("path", " > ")).alias("path"))
 
 
 def p4_impact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,3 +140,29 @@ def test_impact_query_covers_loops(spark, tmp_path):
     spark.createDataFrame([(p, c, "has_field") for p, c in links], "source string, target string, type string").write.parquet(f"{tmp_path}/edges.parquet")
     spark.createDataFrame([(1, "a", 2), (2, "c", None)], "request_id long, node_id string, max_depth int").write.parquet(f"{tmp_path}/impact_requests.parquet")
     assert sorted(map(tuple, p4_impact(spark, str(tmp_path)).collect())) == [(1, "b", 1), (1, "c", 2), (2, "d", 1)]
+
+
+def test_nodes_and_paths_with_loops(spark):
+    links = mixed(6)
+    parent, want = brute(links)
+    f = forest(spark, links)
+    nodes = {r["node_id"]: r for r in f.nodes(loops=True).collect()}
+    assert {n: (r["root_id"], r["depth"], r["descendants"]) for n, r in nodes.items()} == {n: (*o, len(reached(links, n, None))) for n, o in want.items()}
+    paths = {r["node_id"]: r for r in f.paths(loops=True).collect()}
+    assert set(paths) == set(want)
+    for n, (root, depth) in want.items():
+        walk = [n]
+        while walk[0] != root:
+            walk.insert(0, parent[walk[0]])
+        assert paths[n]["path"] == walk
+        assert paths[n]["ring"] == (0 if depth >= 0 else sum(root in reached(links, x, None) or x == root for x in walk))
+
+
+def test_path_query_marks_loops(spark, tmp_path):
+    from graphloom.plans.general import p4_nodes, p4_paths
+
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("t", "u")]
+    spark.createDataFrame([(p, c, "has_field") for p, c in links], "source string, target string, type string").write.parquet(f"{tmp_path}/edges.parquet")
+    want = {"a": "loop(a)", "b": "loop(a > b)", "c": "loop(a > b) > c", "d": "loop(a > b) > c > d", "t": "t", "u": "t > u"}
+    assert dict(map(tuple, p4_paths(spark, str(tmp_path)).collect())) == want
+    assert {r["node_id"]: r["descendants"] for r in p4_nodes(spark, str(tmp_path)).collect()} == {"a": 3, "b": 3, "c": 1, "d": 0, "t": 1, "u": 0}
