@@ -36,11 +36,11 @@ class Result:
 class Tools:
     """Tools over a graph store. ``provider`` embeds questions; without one, questions go to the router.
 
-    Results are what a client shows, so rows are collected; queries without a limit of their own stop at ``most`` rows.
+    Results are what a client shows: all rows of a query come, partition by partition; only its own limit cuts them.
     """
 
-    def __init__(self, spark: SparkSession, store: GraphStore, provider: Provider | None = None, most: int = 10_000):
-        self.spark, self.store, self.provider, self.most = spark, store, provider, most
+    def __init__(self, spark: SparkSession, store: GraphStore, provider: Provider | None = None):
+        self.spark, self.store, self.provider = spark, store, provider
 
     def run(self, name: str, **args) -> Result:
         if name not in REQUIRED:
@@ -57,7 +57,7 @@ class Tools:
         return self.store.graph().workspace(workspace)
 
     def _rows(self, df: DataFrame, note: str) -> Result:
-        rows = [json.loads(r) for r in df.limit(self.most).toJSON().collect()]
+        rows = [json.loads(r) for r in df.toJSON().toLocalIterator()]
         return Result(f"{note}\nFound {len(rows)} records", rows)
 
     def _cypher_query(self, query: str, workspace: str, parameters: dict | None = None, explain: bool = False) -> Result:
@@ -87,8 +87,8 @@ class Tools:
         g = self._graph(workspace)
         direct = self._rows(impact.analyze_impact(g, nodeId, changeType), f"Impact of {changeType} on {nodeId}, depth {maxDepth}")
         if maxDepth and maxDepth > 1:
-            far = self._rows(paths.impact_transitive(g, nodeId, maxDepth), "")
-            direct.text += f"; {len(far.rows)} nodes depend on it within {maxDepth} steps"
+            far = paths.impact_transitive(g, nodeId, maxDepth).count()
+            direct.text += f"; {far} nodes depend on it within {maxDepth} steps"
         return direct
 
     def _find_patterns(self, patternType: str, workspace: str, filter: str | None = None) -> Result:  # noqa: A002, N803

@@ -122,3 +122,17 @@ def test_prompts():
     assert render("a{{#if x}}b{{/if}}{{#unless x}}c{{/unless}}{{x}}", {"x": ""}) == "ac"
     assert render("a{{#if x}}b{{/if}}{{#unless x}}c{{/unless}}{{x}}", {"x": "1"}) == "ab1"
     assert render("a{{#if y}}b{{/if}}{{z}}", {}) == "ab"  # an absent key keeps the body
+
+
+def test_tools_return_all_rows(spark, tmp_path):
+    n, store = 10_050, str(tmp_path / "store")
+    ids = spark.range(n).select(F.format_string("ws_function:p.f%05d", "id").alias("id"), F.format_string("f%05d", "id").alias("label"))
+    nodes = ids.select("id", "label", F.lit("function").alias("type"), F.lit("p").alias("package"), F.lit("ws").alias("workspace"))
+    edges = ids.where("label <> 'f00000'").select(F.col("id").alias("source"), F.lit("ws_function:p.f00000").alias("target"), F.lit("calls").alias("type"), F.lit(1).alias("weight"), F.lit("ws").alias("workspace"))
+    s = GraphStore(spark, store)
+    s.write("nodes", s.read("nodes", s._nodes_schema()).unionByName(nodes, allowMissingColumns=True), ("workspace", "type"))
+    s.write("edges", edges, ("workspace", "type"))
+    t = Tools(spark, s)
+    got = t.run("cypher_query", query="MATCH (f:CodeNode {type: 'function'}) RETURN f.label AS l ORDER BY l", workspace="ws")
+    assert f"Found {n} records" in got.text and [r["l"] for r in got.rows] == [f"f{i:05d}" for i in range(n)]
+    assert f"{n - 1} nodes depend on it" in t.run("analyze_impact", nodeId="f00000", workspace="ws", maxDepth=2).text
