@@ -2,7 +2,7 @@
 
 Vectors are scaled to unit length and quantised to int8. Tiles of integer products give every cosine of a block with a
 proven bound on its quantisation error; pairs that may still be among the k best of one end survive, are recomputed in
-float, and per-row heaps merge what the blocks found. Blocks are all pairs of a fixed tiling (``exact``), or, for a
+float, written as pairs, and ranked by a row_number window per row (no heaps). Blocks are all pairs of a fixed tiling (``exact``), or, for a
 threshold search at scale, the leaves of a few random projection trees: their split points are fitted on a bounded
 sample, every row is put in one leaf per tree, and leaves have about LEAF rows whatever the distribution is.
 """
