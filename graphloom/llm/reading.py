@@ -1,9 +1,11 @@
 """Reading level of documents: a familiar-word formula over their English prose.
 
-Two numbers carry the formula: the share of words outside a list of familiar words, and the mean length of sentences.
-The list holds the words of highest document frequency in the corpus itself. Since long sentences need not be hard and
-short words need not be easy, the score also takes how deeply clauses are nested per sentence; the weights are fitted
-on a bounded sample of human levels.
+Two numbers make the score, and nothing else: the share of words outside a list of familiar words, and the logarithm of
+the mean sentence length. The list holds the words that stand in at least a given share of the corpus's own documents of
+English prose. A sentence is measured by its main clauses: where a coordinator opens a new main clause, a new sentence
+begins (the minimal terminable unit of readability research), so that a chain of plain clauses is not long, while
+subordinate clauses stay in the sentence they are nested in. Human levels of a bounded sample only set the two weights,
+the cut-off, and the share from which a word is familiar.
 """
 
 from __future__ import annotations
@@ -11,15 +13,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.shared import Scratch
+from graphloom.shared import Scratch, row_count
 
-FAMILIAR_WORDS = 300
+#: shares of documents from which a word may be called familiar; the labels decide between them
+FAMILIAR_SHARES = tuple(k / 100 for k in range(5, 21))
+FAMILIAR_SHARE = 0.12
 LEAST_ENGLISH = 0.12
 MIN_WORDS = 20
 MAX_LABELS = 5_000
@@ -49,14 +54,13 @@ OTHER = frozenset(
     """der die das und ist nicht ein eine einen wird werden mit von zu den dem des auf für im sich auch nach bei aus wenn oder noch ob jede jeden jedes el la los las un una que se es en del por
     con para como más pero le les et est une des dans pour sur pas qui ne du au ce cette chaque aux ou o os as um uma não em no na dos das da do ao são foi cada antes después il lo gli che non per""".split()
 )
-#: words that open or tie subordinate and concessive clauses
-NESTING = frozenset(
-    """that which who whom whose whereby wherein whereupon although though albeit unless provided notwithstanding inasmuch insofar lest whether whereas were had nor neither either yet
-    hence thereby thus moreover nevertheless conversely consequently ostensibly such""".split()
-)
+#: coordinators, and words that begin the subject of a main clause after one
+JOINS = frozenset("and but so or then".split())
+SUBJECTS = frozenset("the a an it we you they he she i this these those there each every no our your their its his her my all some one".split())
 
 
-ENDS, OURS, THEIRS, NESTS = 1, 2, 4, 8
+ENDS, OURS, THEIRS = 1, 2, 4
+WORD_MARKS = OURS | THEIRS
 MEMO_TOKENS = 200_000
 
 
@@ -75,8 +79,6 @@ class _Tokens(dict):
             mark |= OURS
         if word in OTHER or not word.isascii():
             mark |= THEIRS
-        if word in NESTING:
-            mark |= NESTS
         if len(self) > MEMO_TOKENS:
             self.clear()
         self[raw] = got = (word, mark)
@@ -86,31 +88,45 @@ class _Tokens(dict):
 _tokens = _Tokens()
 
 
+def main_clauses(words: list[str]) -> int:
+    """How many main clauses a sentence coordinates: one more than coordinators (or runs of them) that a subject follows
+    and that have more than two words before them in their clause."""
+    joins = [i for i, w in enumerate(words) if w in JOINS]
+    count, begun, k = 1, 0, 0
+    while k < len(joins):
+        after = joins[k] + 1
+        k += 1
+        if after - begun > 3:
+            while k < len(joins) and joins[k] == after:
+                after, k = after + 1, k + 1
+            if after < len(words) and words[after] in SUBJECTS:
+                count, begun = count + 1, after
+    return count
+
+
 def prose_sentences(text: str) -> list[tuple[list[str], int]]:
-    """Words of each English sentence and how many of them open a clause. Code, tables, logs, headings, markup, paths
+    """Words of each English sentence and how many main clauses it has. Code, tables, logs, headings, markup, paths
     and identifiers are left out; lines are joined to paragraphs first."""
     sentences: list[tuple[list[str], int]] = []
     held: list[str] = []
     fenced = False
 
+    def keep(words: list[str], ours: int, theirs: int) -> None:
+        if len(words) > 1 and ours // OURS > theirs // THEIRS and ours // OURS >= LEAST_ENGLISH * len(words):
+            sentences.append((words, main_clauses(words)))
+
     def close() -> None:
-        words, ours, theirs, nests = [], 0, 0, 0
-        if not held:
-            return
-        held.append("")
+        words, ours, theirs = [], 0, 0
         for word, mark in map(_tokens.__getitem__, held):
             if word:
                 words.append(word)
-                if mark & 14:
+                if mark & WORD_MARKS:
                     ours += mark & OURS
                     theirs += mark & THEIRS
-                    nests += mark & NESTS
             if mark & ENDS:
-                if len(words) > 1 and ours // OURS > theirs // THEIRS and ours // OURS >= LEAST_ENGLISH * len(words):
-                    sentences.append((words, nests // NESTS))
-                words, ours, theirs, nests = [], 0, 0, 0
-        if len(words) > 1 and ours // OURS > theirs // THEIRS and ours // OURS >= LEAST_ENGLISH * len(words):
-            sentences.append((words, nests // NESTS))
+                keep(words, ours, theirs)
+                words, ours, theirs = [], 0, 0
+        keep(words, ours, theirs)
         held.clear()
 
     for line in text.splitlines():
@@ -140,84 +156,74 @@ def _reads(line: str) -> bool:
     return len(words) >= 5 and sum(w & OURS for w in words) >= 0.25 * OURS * len(words)
 
 
-FEATURES = "doc_id long, words int, sentences int, nested int, terms array<string>, counts array<int>"
+PROFILE = "doc_id long, words int, sentences int, terms array<string>, counts array<int>"
 
 
-def _features(doc_id: int, text: str | None) -> tuple:
+def _profile(doc_id: int, text: str | None) -> tuple:
     sentences = prose_sentences(text) if text else []
     terms: Counter = Counter()
     for words, _ in sentences:
         terms.update(words)
-    return (
-        doc_id,
-        sum(terms.values()),
-        len(sentences),
-        sum(n for _, n in sentences),
-        list(terms),
-        list(terms.values()),
-    )
+    return doc_id, sum(terms.values()), sum(n for _, n in sentences), list(terms), list(terms.values())
 
 
 def prose_profiles(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with its prose counts and its words; documents without prose have zeros."""
+    """One row per document with its prose counts (words; sentences by main clauses) and its words; documents without
+    prose have zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "words", "sentences", "nested", "terms", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        names = ["doc_id", "words", "sentences", "terms", "counts"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [_features(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
+                rows = [_profile(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FEATURES)
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PROFILE)
 
 
 # ---- fitting and scoring
 
-#: weights of (1, unfamiliar share, words a sentence, openers a sentence, learned word level) where there are no labels:
-#: the two terms of the formula alone
-UNFITTED = np.array([-4.5, 14.0, 0.07, 0.0, 0.0])
-LEVELS_UNFITTED = np.array([1.5, 5.0, 0.04, 0.0, 0.0])
+#: weights of (1, unfamiliar share, log of the words a sentence) where there are no labels: for the cut-off and the level
+UNFITTED = np.array([-14.0, 11.0, 3.4])
+LEVELS_UNFITTED = np.array([-1.5, 4.0, 1.4])
 RIDGE = 1.0
-#: labelled documents that a word must stand in before its level counts in full
-SHRINK = 4.0
 
 
 def _bounded(labels: DataFrame, doc_id: str, level: str, rater: str) -> DataFrame:
-    """doc_id, level: the mean of the raters' possible levels, for at most MAX_LABELS documents by hash."""
+    """doc_id, level: the median of the raters' possible levels, for at most MAX_LABELS documents by hash."""
     valid = labels.where(F.col(level).between(1, 5) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(rater).alias("rater"), F.col(level).alias("level")).distinct()
-    mean = valid.groupBy("doc_id").agg(F.expr("percentile(level, 0.5)").alias("level"))
-    return mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
+    middle = valid.groupBy("doc_id").agg(F.expr("percentile(level, 0.5)").alias("level"))
+    return middle.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[offsets])
 
 
+def formula_terms(table: pa.Table | pa.RecordBatch, familiar: frozenset[str]) -> np.ndarray:
+    """Rows (1, unfamiliar share, log of the words a sentence) of prose profiles."""
+    terms, counts = table.column("terms"), table.column("counts")
+    if isinstance(terms, pa.ChunkedArray):
+        terms, counts = terms.combine_chunks(), counts.combine_chunks()
+    offsets = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+    coded = terms.flatten().dictionary_encode()
+    strange = np.array([w not in familiar for w in coded.dictionary.to_pylist()] or [False], dtype=np.float64)
+    n = counts.flatten().to_numpy().astype(np.float64)
+    words = np.maximum(1, table.column("words").to_numpy())
+    sentences = np.maximum(1, table.column("sentences").to_numpy())
+    return np.stack([np.ones(len(words)), _sums(strange[coded.indices.to_numpy()] * n, offsets) / words, np.log(words / sentences)], axis=1)
+
+
+@dataclass(frozen=True)
 class ReadingModel:
-    """Familiar words, learned word levels and weights; all of bounded size."""
-
-    def __init__(self, familiar: list[str], levels: dict[str, float], weights: np.ndarray, level_weights: np.ndarray):
-        self.familiar, self.levels, self.weights, self.level_weights = frozenset(familiar), levels, weights, level_weights
-
-    def features(self, table: pa.Table | pa.RecordBatch, own: np.ndarray | None = None) -> np.ndarray:
-        """Rows (1, features) of prose profiles; ``own`` replaces the learned level of each row."""
-        terms, counts = table.column("terms"), table.column("counts")
-        if isinstance(terms, pa.ChunkedArray):
-            terms, counts = terms.combine_chunks(), counts.combine_chunks()
-        offsets = terms.offsets.to_numpy() - terms.offsets[0].as_py()
-        coded = terms.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        code = coded.indices.to_numpy()
-        n = counts.flatten().to_numpy().astype(np.float64)
-        strange = np.array([w not in self.familiar for w in names] or [False], dtype=np.float64)
-        level = np.array([self.levels.get(w, 0.0) for w in names] or [0.0])
-        words = np.maximum(1, table.column("words").to_numpy())
-        sentences = np.maximum(1, table.column("sentences").to_numpy())
-        nested = table.column("nested").to_numpy()
-        learned = _sums(level[code] * n, offsets) / words if own is None else own
-        return np.stack([np.ones(len(words)), _sums(strange[code] * n, offsets) / words, words / sentences, nested / sentences, learned], axis=1)
+    """The familiar words and the weights of the formula's terms; of bounded size."""
+
+    familiar: frozenset[str]
+    share: float
+    weights: np.ndarray
+    level_weights: np.ndarray
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -236,37 +242,34 @@ def _linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.solve(z.T @ z + 1e-3 * np.eye(z.shape[1]), z.T @ y) / spread
 
 
-def fit(profiles: DataFrame, labels: DataFrame, *, familiar_words: int = FAMILIAR_WORDS, doc_id: str = "doc_id", level: str = "level_no", rater: str = "rater") -> ReadingModel:
+def fit(profiles: DataFrame, labels: DataFrame, *, shares: tuple[float, ...] = FAMILIAR_SHARES, doc_id: str = "doc_id", level: str = "level_no", rater: str = "rater") -> ReadingModel:
     """Familiar words from the document frequencies of all profiles; weights from at most MAX_LABELS labelled documents.
 
-    Impossible and null levels, unknown documents and repeated labels are ignored; of several raters the median holds.
-    With fewer than 30 labelled documents, or only one side of the scale, the unfitted formula is used.
+    Frequencies count documents of at least MIN_WORDS words. No more than (mean number of different words of a document)
+    / (least share) words can reach the least share, which bounds the list. Of ``shares`` the one with the greatest
+    likelihood of the labels holds, the smallest of equals. Impossible and null levels, unknown documents and repeated
+    labels are ignored; of several raters the median holds. With fewer than 30 labelled documents, or only one side of
+    the scale, the unfitted formula and the share nearest to FAMILIAR_SHARE are used.
     """
-    frequency = profiles.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    familiar = [r[0] for r in frequency.orderBy(F.desc("df"), "term").limit(familiar_words).collect()]
-    graded = profiles.where(F.col("words") >= MIN_WORDS).join(_bounded(labels, doc_id, level, rater), "doc_id").toArrow()
+    prose = profiles.where(F.col("words") >= MIN_WORDS)
+    total = row_count(prose)
+    frequency = prose.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = frequency.where(F.col("df") >= min(shares) * max(1, total)).collect()
+    familiar = lambda share: frozenset(r["term"] for r in known if r["df"] >= share * total)
+    graded = prose.join(_bounded(labels, doc_id, level, rater), "doc_id").toArrow()
     y = graded.column("level").to_numpy()
     hard = (y >= 3.5).astype(np.float64)
     if len(y) < 30 or hard.all() or not hard.any():
-        return ReadingModel(familiar, {}, UNFITTED, LEVELS_UNFITTED)
-    known = frozenset(familiar)
-    total: Counter = Counter()
-    seen: Counter = Counter()
-    prior = float(hard.mean())
-    rows = [[w for w in t if w not in known] for t in graded.column("terms").to_pylist()]
-    for words, h in zip(rows, hard, strict=True):
-        seen.update(words)
-        for w in words:
-            total[w] += h - prior
-    levels = {w: total[w] / (n + SHRINK) for w, n in seen.items()}
-    # a labelled document doesn't vouch for itself: its own label is taken out of its words' levels
-    own = np.zeros(len(y))
-    for i, (t, c) in enumerate(zip(graded.column("terms").to_pylist(), graded.column("counts").to_pylist(), strict=True)):
-        own[i] = sum(k * (total[w] - (hard[i] - prior)) / (seen[w] - 1 + SHRINK) for w, k in zip(t, c, strict=True) if w not in known) / max(1, sum(c))
-    model = ReadingModel(familiar, levels, UNFITTED, LEVELS_UNFITTED)
-    x = model.features(graded, own)
-    model.weights, model.level_weights = _logistic(x, hard), _linear(x, y)
-    return model
+        share = min(shares, key=lambda s: abs(s - FAMILIAR_SHARE))
+        return ReadingModel(familiar(share), share, UNFITTED, LEVELS_UNFITTED)
+    best = None
+    for share in sorted(shares):
+        x = formula_terms(graded, familiar(share))
+        weights = _logistic(x, hard)
+        likelihood = -np.logaddexp(0, -np.where(hard > 0, 1, -1) * (x @ weights)).mean()
+        if best is None or likelihood > best[0] + 1e-12:
+            best = likelihood, ReadingModel(familiar(share), share, weights, _linear(x, y))
+    return best[1]
 
 
 def score(profiles: DataFrame, model: ReadingModel) -> DataFrame:
@@ -277,23 +280,22 @@ def score(profiles: DataFrame, model: ReadingModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = model.features(batch)
-            words = batch.column("words").to_numpy()
-            enough = words >= MIN_WORDS
-            level = np.clip(x @ model.level_weights, 1.0, 5.0)
-            hard = enough & (x @ model.weights > 0)
-            arrays = [batch.column("doc_id"), batch.column("words"), pa.array(np.where(enough, x[:, 1], np.nan), mask=~enough), pa.array(np.where(enough, x[:, 2], np.nan), mask=~enough), pa.array(level, mask=~enough), pa.array(hard)]
+            x = formula_terms(batch, model.familiar)
+            few = batch.column("words").to_numpy() < MIN_WORDS
+            values = [x[:, 1], np.exp(x[:, 2]), np.clip(x @ model.level_weights, 1.0, 5.0)]
+            arrays = [batch.column("doc_id"), batch.column("words"), *[pa.array(v, mask=few) for v in values], pa.array(~few & (x @ model.weights > 0))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "words", "unfamiliar", "sentence_words", "level", "demanding"])
 
     return profiles.mapInArrow(run, "doc_id long, words int, unfamiliar double, sentence_words double, level double, demanding boolean")
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", familiar_words: int = FAMILIAR_WORDS) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shares: tuple[float, ...] = FAMILIAR_SHARES) -> DataFrame:
     """``score`` of a whole corpus under a model fitted to it.
 
     * Null, empty and blank texts, texts in other languages and without prose have 0 words. Whole texts are read.
-    * Repeated documents are scored each and count each for the document frequencies; ties in frequency go by the word.
+    * Repeated documents are scored each and count each for the document frequencies; a word is familiar by its share
+      alone, so there are no ties to break.
     * No documents, no rows; other columns are not read.
     """
     profiles, _, _ = Scratch(documents.sparkSession, "reading").cut(prose_profiles(documents, doc_id, text))
-    return score(profiles, fit(profiles, labels, familiar_words=familiar_words))
+    return score(profiles, fit(profiles, labels, shares=shares))

@@ -21,6 +21,27 @@ def test_odd_texts(text):
     reading.prose_sentences(text)
 
 
+def test_main_clauses():
+    """A chain of plain clauses is many sentences; nested ones stay one, however long."""
+    flat = "the form asks for the paper and then you join the screen and the note is bad and so you save the side but it counts the team".split()
+    assert reading.main_clauses(flat) == 5
+    assert reading.main_clauses(HARD[2].lower().replace(",", "").split()) == 1
+    assert reading.main_clauses([]) == 1 and reading.main_clauses("and but so".split()) == 1 and reading.main_clauses("salt and the pepper".split()) == 1
+
+
+def test_formula_alone_decides(spark):
+    """A decision is a function of the two terms: nothing else about a document moves it."""
+    docs, labels = corpus()
+    got = run(spark, docs, labels).values()
+    seen = {}
+    for r in got:
+        if r["level"] is not None:
+            assert seen.setdefault((r["unfamiliar"], r["sentence_words"]), (r["demanding"], r["level"])) == (r["demanding"], r["level"])
+    hard, easy = ([r for r in got if r["level"] is not None and r["demanding"] == d] for d in (True, False))
+    for h in hard:  # nothing demanding is below something easy in both terms
+        assert not any(e["unfamiliar"] > h["unfamiliar"] and e["sentence_words"] > h["sentence_words"] for e in easy)
+
+
 def corpus(seed=0, n=240):
     r = random.Random(seed)
     docs, labels = [], []
@@ -35,7 +56,7 @@ def corpus(seed=0, n=240):
 def run(spark, docs, labels):
     d = spark.createDataFrame(docs, "doc_id long, text string, level string")
     lab = spark.createDataFrame(labels, "doc_id long, rater string, level_no int")
-    return {r["doc_id"]: r for r in reading.reading_levels(d, lab, familiar_words=40).collect()}
+    return {r["doc_id"]: r for r in reading.reading_levels(d, lab, shares=(0.3, 0.4)).collect()}
 
 
 def test_held_out_accuracy(spark):
