@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.documented import documented_pairs
+from graphloom.llm.documented import declarations, documented_pairs
 from graphloom.llm.neighbours import Neighbours
 from graphloom.llm.packing import pack
 from graphloom.llm.reading import reading_levels
@@ -21,13 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "source_files"), with_code=False).select("id")
+    return documented_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "source_files")).select("id")
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "source_files"))
 
 
+def p1_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every declaration of every file with its line and the hash of its code, as the text between its positions."""
+    found = declarations(table(spark, sf_dir, "source_files"), "file_id", "package", "content")
+    return found.select("file_id", "line", F.md5("code").alias("code_md5"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _neighbours(spark, sf_dir).top(NEIGHBOURS, MIN_SIMILARITY)
     return top.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
@@ -83,9 +89,20 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_similar, p6_ids, p6_counts, p7_containers, p7_fill, p8_found, p8_levels)}
-#: brute force over all pairs of a model
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_declarations, p2_found, p2_similar, p6_ids, p6_counts, p7_containers, p7_fill, p8_found, p8_levels)}
+#: p1_declarations: lines that begin a function outside comments and raw strings, up to the line that closes it at the
+#: margin; p2_found: brute force over all pairs of a model
 SQL = {
+    "p1_declarations": r"""
+WITH t AS (SELECT file_id, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM source_files WHERE content IS NOT NULL),
+r0 AS (SELECT file_id, unnest(l) AS s, generate_subscripts(l, 1) AS n FROM t),
+r1 AS (SELECT *, regexp_replace(regexp_replace(s, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''', '_', 'g'), '//.*$', '') AS z FROM r0),
+r AS (SELECT *, coalesce(sum(len(regexp_extract_all(z, '/\*')) - len(regexp_extract_all(z, '\*/'))) OVER w, 0) AS comments, coalesce(sum(len(regexp_extract_all(z, '`'))) OVER w, 0) % 2 AS raw
+  FROM r1 WINDOW w AS (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT file_id, n, s FROM r WHERE regexp_matches(s, '^func\b') AND comments = 0 AND raw = 0),
+e AS (SELECT file_id, n FROM r WHERE starts_with(s, '}')),
+p AS (SELECT f.file_id, f.n AS line, CASE WHEN regexp_matches(any_value(f.s), '\}\s*$') THEN f.n ELSE min(e.n) END AS last FROM f LEFT JOIN e ON e.file_id = f.file_id AND e.n > f.n GROUP BY f.file_id, f.n)
+SELECT p.file_id, line::INT AS line, md5(array_to_string(list_slice(l, line, last), chr(10))) AS code_md5 FROM p JOIN t USING (file_id)""",
     "p2_found": f"""
 WITH v AS (SELECT id, embedding_model AS m, any_value(embedding::DOUBLE[]) AS e FROM existing_nodes WHERE len(embedding) > 0 AND id IS NOT NULL AND embedding_model IS NOT NULL
   AND NOT list_bool_or([isnan(x) for x in embedding]) AND list_bool_or([x <> 0 for x in embedding]) GROUP BY 1, 2),

@@ -1,8 +1,9 @@
 """Whether a documentation tells anything beyond the declaration it stands at.
 
-The text is cut into statements; statements that are directives, reminders, placeholders, notices, drawn lines, code or
-the declaration said again are put aside. What is left must hold words that neither the name, receiver and parameters
-nor mere phrasing contribute.
+The text is cut into statements; statements that are directives, reminders, notices, drawn lines or code are put aside.
+What is left must hold words that neither the name, receiver and parameters nor mere phrasing contribute. Other ways to
+say a part of a name are learned from the corpus: a word that declarations sharing the part add, alone, to their
+restated names tells no more than the part does.
 """
 
 from __future__ import annotations
@@ -16,19 +17,10 @@ DIRECTIVE = re.compile(
     re.I,
 )
 INLINE_DIRECTIVE = re.compile(r"(?:^|\s)(?://\s*)?(?:nolint(?::[\w,]+)?|lint:ignore \w+(?: \w+)?|go:(?:noinline|nosplit|norace|linkname|build \S+|generate \S+(?: -\S+)*|embed \S+)|noqa(?::\s?\w+)?)(?=\s|$)")
-REMINDER = re.compile(r"^[\W_]*(?:to-?do|fix-?me|xxx|hack|tbd|tba|wip|bug|review|note to self|reminder|optimi[sz]e|revisit|changeme|temp(?:orary)?)\b(?:\s*\([^)]*\))?\s*(?::|-|$|\s)", re.I)
-NOTICE = re.compile(r"code generated|do not edit|auto-?\s?generated|generated (?:by|from|code|file|using|with)|\bthis file (?:is|was) generated|machine generated|copyright|all rights reserved|spdx-license|licen[cs]ed under", re.I)
-PLACEHOLDER = re.compile(
-    r"^(?:"
-    r"(?:no|missing|add|insert|write|needs?|lacks?|without|empty|some|put|your|pending)?\s*(?:a |an |the |any |more |proper |some )*(?:docs?|documentation|description|comments?|doc ?comment|doc ?string|explanation|text|godoc|summary)"
-    r"(?:\s+(?:here|later|missing|pending|needed|available|required|follows|goes|to follow|to come|to be (?:written|added|done)|provided|yet|for this|is|tbd|wanted|string|comment|of this|not|found|soon|please))*"
-    r"|undocumented|not (?:yet )?documented(?: yet)?|n\s*[/.]?\s*a|none|nil|null|nothing(?: to see here| here)?|unknown|self[- ]?explanatory|obvious|see (?:above|below|name|code|source|the code|the name|title|implementation)|same(?: as)?(?: above| below| before)?|as above|as the name (?:says|implies|suggests)|"
-    r"ditto|idem|helpers?|helper (?:function|method|func)s?|utils?|utility|stub|stubs|(?:method|function) stub|auto-?generated (?:method|function) stub|placeholder|dummy|test|tests|internal|private|public|exported|unexported|misc|other|various|wrapper|"
-    r"getter|setter|constructor|function|method|func|deprecated|obsolete|unused|lorem ipsum.*|foo|bar|baz|blah(?: blah)*|asdf|etc|ok|okay|yes|no|fine|works|magic|here be dragons|coming soon|to be (?:done|documented|determined|defined|written|added|completed)|not implemented(?: yet)?|implement me|"
-    r"default (?:implementation|description)|description|summary|overview|params?|parameters|arguments|returns?|return values?|example|examples|usage|notes?"
-    r")$",
-    re.I,
-)
+#: the markers of unfinished work that tools know, with an owner in brackets or not
+REMINDER = re.compile(r"^[\W_]*(?:todo|fixme|xxx|hack|tbd|wip)\b", re.I)
+#: notices of generated files and of rights, in their usual whole forms
+NOTICE = re.compile(r"^\W*(?:code|this file (?:is|was)|file)\s+(?:auto-?\s?)?generated\b|^\W*(?:auto-?\s?|machine[ -])generated\W*(?:$|by|from|code|file)|\bdo not edit\b|^\W*copyright\b|all rights reserved|spdx-license|^\W*licen[cs]ed under", re.I)
 CODE = re.compile(
     r"^(?:func\b.*\(.*|(?:if|for|switch|select)\b.*\{.*|\}.*|return(?:\s+(?:&?[\w.\[\]]+(?:\([^()]*(?:\([^()]*\))?[^()]*\))?|\"[^\"]*\"))?(?:,\s*(?:&?[\w.\[\]]+(?:\([^()]*\))?|\"[^\"]*\"))*;?|(?:var|const)\s+\w+\s*(?:=|[\w.\[\]*]+\s*(?:=|$)).*|type\s+\w+\s+(?:struct|interface|func).*|defer\s+[\w.]+\(.*\)|go\s+[\w.]+\(.*\)|"
     r"package\s+\w+|import\s*(?:\(|\").*|(?:case\b.*|default):|[\w.\[\]]+(?:,\s*[\w.\[\]]+)*\s*(?::=|[+\-*/|&]?=)\s*\S.*|[\w.]+\(.*\)\s*[;{]?|[\w.]+(?:\+\+|--)|break|continue|[\w.]+\s*<-.*|.*\)\s*[;{]|.*\{)$"
@@ -44,26 +36,15 @@ GLUE = frozenset(
     implies used uses use using given input output some any all one new main method's function's operation operations action actions thing things stuff code here above below
     there then so if we you i they your our my his her their self object instance job work task perform performs performed performing execute executes executed executing
     handle handles handled handling process processes processed processing run runs running call calls calling provide provides providing allow allows get gets
-    defined define defines definition declare declares declared declaration member belongs belong behalf way etc eg ie via per such itself according corresponding respective accordingly
+    defined define defines definition declare declares declared member belongs belong behalf way etc eg ie via per such itself according corresponding respective accordingly
     responsible purpose purposes intended serves serve does what""".split()
 )
-#: how a verb or noun of a name may be said in other words
-SYNONYMS = {
-    "new": "create creates creating created creation make makes making made construct constructs constructor build builds initialize initializes instance allocate allocates return",
-    "create": "make makes making made new build builds construct constructs creation",
-    "make": "create creates new build builds",
-    "get": "return returns fetch fetches retrieve retrieves obtain obtains getter gets accessor read reads got getting",
-    "set": "assign assigns setter sets update updates change changes setting store stores put puts",
-    "list": "lists listing enumerate enumerates all", "map": "maps mapping mapped", "fetch": "get gets retrieve retrieves", "load": "read reads get gets",
-    "delete": "remove removes drop drops", "remove": "delete deletes drop drops", "drop": "delete deletes remove removes drops dropping", "add": "append appends insert inserts",
-    "find": "search searches look looks locate locates found finding", "count": "counts number numbers counting counter", "check": "checks verify verifies validate validates test tests checking",
-    "emit": "emits send sends output outputs emitting", "write": "writes written writing save saves", "read": "reads load loads reading", "run": "runs execute executes ran",
-    "build": "builds built make makes create creates", "split": "splits divide divides splitting", "merge": "merges combine combines join joins", "parse": "parses read reads parsing",
-    "apply": "applies applied applying", "copy": "copies copied", "init": "initialize initializes initialise initialises", "close": "closes shut shuts", "open": "opens",
-    "resolve": "resolves resolved resolving", "bind": "binds bound", "walk": "walks traverse traverses", "visit": "visits", "fold": "folds", "trim": "trims trimmed trimming", "prune": "prunes pruning",
-    "in": "inside within", "place": "places", "by": "using via through", "with": "using having", "from": "out", "for": "on behalf", "once": "one single time", "limit": "limits limited maximum",
-    "send": "sends sent", "index": "indexes indices indices", "vertex": "vertices", "entry": "entries", "query": "queries", "policy": "policies", "summary": "summaries",
-}
+#: words that speak of the documentation or of its lack, not of the code
+STUB = frozenset(
+    """doc docs godoc documentation documented undocumented document documenting description describe described comment comments docstring explanation todo fixme tbd wip placeholder stub
+    dummy missing pending available required needed yet later soon please add insert write written nil none null unknown obvious self explanatory ditto same deprecated obsolete
+    internal private public exported unexported misc various default generated autogenerated auto generic see look refer no""".split()
+)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 NAME_PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 NEED = 2
@@ -90,11 +71,9 @@ def _stem(word: str) -> str:
     return w.rstrip("e") if len(w) > 3 else w
 
 
-def _known(names: set[str]) -> set[str]:
-    said = set(names)
-    for n in names:
-        said.update(SYNONYMS.get(n, "").split())
-    return {_stem(x) for x in said} | said
+def _known(names: set[str], said: dict[str, frozenset[str]]) -> set[str]:
+    stems = {_stem(x) for x in names}
+    return names | stems | {w for x in stems for w in said.get(x, ())}
 
 
 #: code that stands within a line of text, and reminders and stub phrases that begin there
@@ -102,18 +81,13 @@ INLINE_CODE = re.compile(
     r"if\s+[\w.]+\s*[!=]=\s*\w+\s*\{[^{}]*\}|return(?:\s+[\w.]+\([^()]*\))(?:,\s*\w+)*|[\w.]+(?:,\s*[\w.]+)*\s*:=\s*[\w.&]+(?:\([^()]*\)|\{[^{}]*\})?|\b(?!O\()[A-Za-z_]\w*(?:\.\w+)*\([^()]*\)"
 )
 BREAK = re.compile(r"\s+(?=(?:TODO|FIXME|XXX|TBD|HACK)\b|(?:todo|fixme)\()")
-STUB_PHRASE = re.compile(
-    r"todo(?:\(docs?\)|:? (?:add|write) (?:a )?(?:documentation|comment|docs?)(?: here)?(?: later)?|:? document this)|fixme:? (?:write|add) a comment|auto-?generated (?:method|function) stub|"
-    r"no documentation available|description missing|no description(?: available)?|as (?:its|the) name (?:says|suggests|implies)|see above|same as above",
-    re.I,
-)
 
 
 def statements(text: str) -> list[str]:
     text = MARKS.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
     text = MARKS.sub("", text)
     out = []
-    for line in re.split(r"\n", BREAK.sub("\n", STUB_PHRASE.sub("\n", text))):
+    for line in re.split(r"\n", BREAK.sub("\n", text)):
         for part in re.split(r"(?<=[.!?;。！？])\s+|(?<=[。！？])", line):
             part = part.strip(" \t*-=_~#>•·|+<").strip()
             if part:
@@ -121,60 +95,48 @@ def statements(text: str) -> list[str]:
     return out
 
 
-def _novel(text: str, known: set[str]) -> int:
-    """Words beyond the known ones and phrasing. In scripts without blanks a run of letters counts by its length."""
-    count = 0
+def _novel(text: str, known: set[str]) -> list[str]:
+    """Stems of words beyond the known ones and phrasing. In scripts without blanks a run of letters counts by its length."""
+    found = []
     for w in WORD.findall(text):
         low = w.lower()
         if not low.isascii() and any("\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" for c in low):
-            count += max(1, len(low) // 3)
-        elif low not in GLUE and low not in known and _stem(low) not in known and (len(low) > 1 or not low.isascii()):
-            count += 1
-    return count
+            found += [low] * max(1, len(low) // 3)
+        elif low not in GLUE and low not in STUB and low not in known and (len(low) > 1 or not low.isascii()):
+            stem = _stem(low)
+            if stem not in known:
+                found.append(stem)
+    return found
 
 
-def is_trivial(doc: str | None, name: str, receiver: str | None = None, params: str | None = None) -> bool:
-    """True if ``doc`` tells nothing beyond the declaration. Null and blank are trivial; text of any length and language
-    is read whole, and one telling statement anywhere is enough."""
+def new_words(doc: str | None, name: str, receiver: str | None = None, params: str | None = None, said: dict[str, frozenset[str]] | None = None) -> list[list[str]]:
+    """For each statement that is none of the kinds put aside, the stems of its words beyond the declaration."""
     if not doc or not doc.strip():
-        return True
-    known = _known(name_words(name, receiver, params))
+        return []
+    known = _known(name_words(name, receiver, params), said or {})
     glued = re.sub(r"\W", "", name or "").lower()
+    out = []
     for part in statements(doc):
         text = INLINE_DIRECTIVE.sub(" ", part).strip(" \t.;:!,-*=_~#")
-        if not text or DIRECTIVE.match(text) or DIRECTIVE.match(part):
-            continue
-        if REMINDER.match(text):
-            # an opening reminder swallows its sentence; what follows a known stub phrase on the same line is read on
-            rest = _after_stub(text)
-            if rest is None:
-                continue
-            text = rest
-        if NOTICE.search(text) or PLACEHOLDER.match(text) or CODE.match(part.strip()) or CODE.match(text):
+        if not text or DIRECTIVE.match(text) or DIRECTIVE.match(part) or REMINDER.match(text) or NOTICE.search(text) or CODE.match(part.strip()) or CODE.match(text):
             continue
-        text = _strip_lead(text)
         text = INLINE_CODE.sub(" ", TAG.sub(" ", NAMED_TAG.sub(" ", text)))
-        if not text.strip() or PLACEHOLDER.match(text.strip(" .:;!?-")):
-            continue
-        words = " ".join(w for w in text.split() if re.sub(r"\W", "", w).lower() != glued)
-        if _novel(words, known) >= NEED:
-            return False
-    return True
-
-
-_STUBS = re.compile(r"^(?:todo\b[:\s]*(?:\([^)]*\))?[:\s]*(?:(?:add|write) (?:a )?(?:documentation|comment|docs?)(?: here)?(?: later)?|document this|doc(?:ument)?)|fixme[:\s]*write a comment|todo\([\w]+\)|tbd|xxx|todo)\s+(?=[^\W\d_]+\s)", re.I)
+        out.append(_novel(" ".join(w for w in text.split() if re.sub(r"\W", "", w).lower() != glued), known))
+    return out
 
 
-def _after_stub(text: str) -> str | None:
-    m = _STUBS.match(text)
-    if m is None or re.match(r"^(?:todo|fixme|xxx)\s*(?:\([^)]*\))?\s*:", text, re.I) and not re.match(r"^(?:todo|fixme)\s*(?:\([^)]*\))?\s*:\s*(?:document this|write a comment|add)", text, re.I):
-        return None
-    rest = text[m.end() :].strip()
-    return rest or None
+def is_trivial(doc: str | None, name: str, receiver: str | None = None, params: str | None = None, said: dict[str, frozenset[str]] | None = None) -> bool:
+    """True if ``doc`` tells nothing beyond the declaration: no statement adds NEED words. Null and blank are trivial;
+    text of any length and language is read whole, and one telling statement anywhere is enough. ``said`` has, for stems
+    of name parts, the stems that say the part again."""
+    return not any(len(words) >= NEED for words in new_words(doc, name, receiver, params, said))
 
 
-_LEADS = re.compile(r"^(?:n\s*/\s*a|n\.a\.|none|no description|description missing|undocumented|see above|same as above|helper|doc|no documentation available|auto-generated method stub|tbd|deprecated|\.\.\.|\?|-)\s*[.:;]?\s+(?=\S)", re.I)
+def name_stems(name: str) -> list[str]:
+    return sorted({_stem(x) for x in name_words(name)})
 
 
-def _strip_lead(text: str) -> str:
-    return _LEADS.sub("", text)
+def echoes(doc: str | None, name: str) -> list[tuple[str, str]]:
+    """(stem of a name part, stem) for every statement that adds one word alone to the restated name."""
+    alone = {words[0] for words in new_words(doc, name) if len(words) == 1}
+    return [(part, word) for word in sorted(alone) for part in name_stems(name)]
