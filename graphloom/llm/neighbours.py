@@ -1,10 +1,15 @@
 """The k most similar vectors of every vector, by a block matrix join over int8 tiles.
 
 Vectors are scaled to unit length and quantised to int8. Tiles of integer products give every cosine of a block with a
-proven bound on its quantisation error; pairs that may still be among the k best of one end survive, are recomputed in
-float, written as pairs, and ranked by a row_number window per row (no heaps). Blocks are all pairs of a fixed tiling (``exact``), or, for a
-threshold search at scale, the leaves of a few random projection trees: their split points are fitted on a bounded
-sample, every row is put in one leaf per tree, and leaves have about LEAF rows whatever the distribution is.
+proven bound on its quantisation error; pairs that may still be among the k best of one end survive and are recomputed in
+float. Rows that keep more than DENSE survivors stand among near-duplicates: instead of emitting all pairs, their blocks
+are joined with the float vectors once, and a k-best list a row (an array heap, kept over the tiles of the block) is all
+that leaves the task. Between blocks a row_number window with its partial limit merges the k best of each row.
+
+Blocks are all pairs (tile i, tile j) of a fixed tiling (``exact``), or, for a threshold search at scale, the leaves of
+random projection trees: split points are medians of a bounded sample, rows at a split point are dealt by their hash, a
+group that is still too large is halved at its own medians, so that no block has more than 2 LEAF rows. The number of trees
+grows with their depth, since a pair must survive every split.
 """
 
 from __future__ import annotations
@@ -19,10 +24,15 @@ from pyspark.sql import functions as F
 from graphloom.shared import Scratch
 
 LEAF = 4096
+#: trees up to DEPTH_FREE levels of splits; each further level adds one
 TREES = 5
-SAMPLE_ROWS = 65_536
-FITTED_DEPTH = 13
+DEPTH_FREE = 6
+#: the sample that split points are fitted on: rows and bytes at most
+SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 1 << 26
+#: sample rows a node needs for a split point; levels beyond are left to the groups, which halve themselves
+NODE_SAMPLE = 8
 TILE = 1024
+DENSE = 64
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,8 +44,9 @@ def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale.astype(np.float32), (error * 1.0001 + 1e-6).astype(np.float32)
 
 
-def tile_pairs(qa: np.ndarray, sa: np.ndarray, ea: np.ndarray, qb: np.ndarray, sb: np.ndarray, eb: np.ndarray, k: int, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and b that may be among the k best of the row of a, with a cosine that may reach ``floor``.
+def tile_pairs(qa: np.ndarray, sa: np.ndarray, ea: np.ndarray, qb: np.ndarray, sb: np.ndarray, eb: np.ndarray, k: int, floor: float, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b that may be among the k best of the row of a, with a cosine that may reach ``floor``. With
+    ``own``, a are the rows of b from there on, and no row meets itself.
 
     Products of int8 values are summed exactly in float32 (below 2^24 for up to 1,040 dimensions, in float64 beyond).
     """
@@ -44,8 +55,8 @@ def tile_pairs(qa: np.ndarray, sa: np.ndarray, ea: np.ndarray, qb: np.ndarray, s
     near = product * sa[:, None] * sb[None, :]
     # |x.y - x'.y'| <= |x-x'||y| + |x'||y-y'| <= ea + (1 + ea) eb
     slack = ea[:, None] + (1 + ea[:, None]) * eb[None, :] + 1e-6
-    if same:
-        np.fill_diagonal(near, -9)
+    if own is not None:
+        near[np.arange(len(qa)), own + np.arange(len(qa))] = -9
     upper = near + slack
     rows, cols = np.nonzero(upper >= floor)
     if not len(rows):
@@ -63,51 +74,140 @@ def tile_pairs(qa: np.ndarray, sa: np.ndarray, ea: np.ndarray, qb: np.ndarray, s
     return rows[keep], cols[keep]
 
 
+def levels(rows: float, leaf: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1.0, rows / leaf)))))
+
+
+def trees_for(depth: int) -> int:
+    return TREES + max(0, depth - DEPTH_FREE)
+
+
 class ProjectionTrees:
-    """Leaf numbers of int8 rows in TREES random projection trees with sample medians as split points."""
-
-    def __init__(self, sample: dict[str, np.ndarray], share: float, trees: int, leaf: int, seed: int = 5):
-        self.trees, self.seed, self.split, self.depth = trees, seed, {}, {}
-        for model, q in sample.items():
-            rows = len(q) / share
-            self.depth[model] = depth = max(0, int(np.ceil(np.log2(max(1.0, rows / leaf)))))
-            self.split[model] = [[] for _ in range(trees)]
-            for t in range(trees):
-                node = np.zeros(len(q), dtype=np.int64)
-                for level in range(min(depth, FITTED_DEPTH)):
-                    height = self._heights(q, t, level)
+    """Leaf numbers of rows in random projection trees with sample medians as split points.
+
+    ``sample`` has unit rows of each model, a ``share`` of all. Rows at a split point, up to rounding, go by their key.
+    """
+
+    def __init__(self, sample: dict[str, np.ndarray], share: float, trees: int | None, leaf: int, seed: int = 5):
+        self.seed, self.split, self.depth, self.trees = seed, {}, {}, {}
+        for model, rows in sample.items():
+            depth = levels(len(rows) / share, leaf)
+            self.trees[model] = 1 if not depth else trees or trees_for(depth)  # without splits all trees are one block
+            self.depth[model] = depth = min(depth, max(0, int(np.log2(max(1, len(rows) // NODE_SAMPLE)))))
+            self.split[model] = []
+            keys = np.arange(len(rows))
+            for t in range(self.trees[model]):
+                node = np.zeros(len(rows), dtype=np.int64)
+                middles = []
+                for level in range(depth):
+                    height = self._heights(rows, t, level)
                     middle = np.zeros(1 << level, dtype=np.float32)
                     order = np.lexsort((height, node))
                     start = np.searchsorted(node[order], np.arange(1 << level))
                     end = np.searchsorted(node[order], np.arange(1 << level), side="right")
                     full = end > start
                     middle[full] = height[order][((start + end) // 2)[full]]
-                    self.split[model][t].append(middle)
-                    node = node * 2 + (height >= middle[node])
-
-    def _heights(self, q: np.ndarray, tree: int, level: int) -> np.ndarray:
-        direction = np.random.default_rng([self.seed, tree, level, q.shape[1]]).standard_normal(q.shape[1]).astype(np.float32)
-        return q.astype(np.float32) @ direction
-
-    def leaves(self, model: str, q: np.ndarray, tree: int) -> np.ndarray:
-        node = np.zeros(len(q), dtype=np.int64)
+                    middles.append(middle)
+                    node = self._down(node, height, middle, keys, level)
+                self.split[model].append(middles)
+
+    def _heights(self, rows: np.ndarray, tree: int, level: int) -> np.ndarray:
+        direction = np.random.default_rng([self.seed, tree, level, rows.shape[1]]).standard_normal(rows.shape[1]).astype(np.float32)
+        return rows.astype(np.float32) @ direction
+
+    @staticmethod
+    def _down(node: np.ndarray, height: np.ndarray, middle: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
+        apart = height - middle[node]
+        coin = ((keys * np.int64(-7046029254386353131)) >> np.int64(40 - level)) & 1
+        return node * 2 + np.where(np.abs(apart) <= 1e-6 * (1 + np.abs(height)), coin, apart > 0)
+
+    def leaves(self, model: str, rows: np.ndarray, tree: int, keys: np.ndarray | None = None) -> np.ndarray:
+        keys = np.arange(len(rows)) if keys is None else keys
+        node = np.zeros(len(rows), dtype=np.int64)
         for level in range(self.depth.get(model, 0)):
-            height = self._heights(q, tree, level)
-            fitted = level < FITTED_DEPTH
-            node = node * 2 + (height >= (self.split[model][tree][level][node] if fitted else 0))
+            node = self._down(node, self._heights(rows, tree, level), self.split[model][tree][level], keys, level)
         return node
 
 
+def halves(q: np.ndarray, leaf: int, seed: int = 17) -> list[np.ndarray]:
+    """Row numbers in parts of at most ``leaf`` rows, each split at its own median along a random direction."""
+    parts, done, level = [np.arange(len(q))], [], 0
+    while parts:
+        direction = np.random.default_rng([seed, level, q.shape[1]]).standard_normal(q.shape[1]).astype(np.float32)
+        nxt = []
+        for rows in parts:
+            if len(rows) <= leaf:
+                done.append(rows)
+            else:
+                order = rows[np.argsort(q[rows].astype(np.float32) @ direction, kind="stable")]
+                nxt += [order[: len(order) // 2], order[len(order) // 2 :]]
+        parts, level = nxt, level + 1
+    return done
+
+
+class KBest:
+    """The k best columns of each row, kept over tiles: an array heap of (similarity down, column up)."""
+
+    def __init__(self, rows: int, k: int):
+        self.value, self.column, self.k = np.full((rows, k), -np.inf), np.full((rows, k), -1, dtype=np.int64), k
+
+    def push(self, at: slice, value: np.ndarray, columns: np.ndarray) -> None:
+        if value.shape[1] > self.k:
+            # ties at the k-th place go to the smaller column, so all of them are looked at
+            least = np.partition(value, value.shape[1] - self.k, axis=1)[:, -self.k]
+            width = int((value >= least[:, None]).sum(axis=1).max())
+            pick = np.argsort(-value, axis=1, kind="stable")[:, :width] if width > self.k else np.argpartition(-value, self.k - 1, axis=1)[:, : self.k]
+            value, columns = np.take_along_axis(value, pick, axis=1), columns[pick]
+        else:
+            columns = np.broadcast_to(columns, value.shape)
+        value = np.concatenate([self.value[at], value], axis=1)
+        columns = np.concatenate([self.column[at], columns], axis=1)
+        order = np.lexsort((columns, -value), axis=1)[:, : self.k]
+        self.value[at], self.column[at] = np.take_along_axis(value, order, axis=1), np.take_along_axis(columns, order, axis=1)
+
+
+def block_survivors(q: np.ndarray, scale: np.ndarray, error: np.ndarray, other: tuple | None, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the block and columns of ``other`` (or of the block itself) that may be among the k best of the row."""
+    qb, sb, eb = other or (q, scale, error)
+    rows, cols = [], []
+    for i in range(0, len(q), TILE):
+        at = slice(i, i + TILE)
+        x, y = tile_pairs(q[at], scale[at], error[at], qb, sb, eb, k, floor, i if other is None else None)
+        rows.append(x + i)
+        cols.append(y)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def _decode(table: pa.Table) -> tuple[np.ndarray, ...]:
     q = np.frombuffer(b"".join(table.column("q").to_pylist()), dtype=np.int8).reshape(table.num_rows, -1)
     return table.column("c").to_numpy(), q, table.column("scale").to_numpy(), table.column("error").to_numpy()
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))[:, None]
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(model, dimension, rows, vectors as doubles) of each model of a batch with the columns model and v."""
+    model, vectors = batch.column("model").to_numpy(zero_copy_only=False), batch.column("v")
+    width = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy()
+    ends = np.cumsum(width)
+    for m in sorted(set(model)):
+        at = np.flatnonzero(model == m)
+        w = int(width[at[0]])
+        yield m, w, at, flat[(ends[at] - w)[:, None] + np.arange(w)[None, :]].astype(np.float64)
+
+
 def _valid(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+class HashCollision(RuntimeError):
+    """Two vectors share a 64-bit number under every seed tried."""
+
+
 class Neighbours:
     """k nearest vectors of the same model by cosine similarity.
 
@@ -123,71 +223,138 @@ class Neighbours:
         self.scratch = Scratch(self.spark, "neighbours")
         vector = vector.cast("array<float>")
         base = rows.select(id_.alias("id"), model.alias("m"), vector.alias("v")).where(F.col("id").rlike(r"\S") & F.col("m").isNotNull() & _valid(F.col("v")))
-        self.rows = base.select("id", F.concat_ws("/", F.col("m"), F.size("v").cast("string")).alias("model"), "v").withColumn("c", F.xxhash64("model", "v"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                model, vectors = batch.column("model"), batch.column("v")
-                width = np.diff(vectors.offsets.to_numpy())
-                flat = vectors.flatten().to_numpy()
-                ends = np.cumsum(width)
-                for w in np.unique(width):
-                    at = np.flatnonzero(width == w)
-                    block = flat[(ends[at] - w)[:, None] + np.arange(w)[None, :]].astype(np.float64)
-                    q, scale, error = quantise(block)
-                    names = ["c", "model", "q", "scale", "error"]
-                    yield pa.RecordBatch.from_arrays([batch.column("c").take(pa.array(at)), model.take(pa.array(at)), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(error)], names=names)
-
-        coded = self.rows.select("c", "model", "v").mapInArrow(run, "c long, model string, q binary, scale float, error float")
-        classes = coded.groupBy("c", "model").agg(F.first("q").alias("q"), F.first("scale").alias("scale"), F.first("error").alias("error"))
-        self.classes, seen, _ = self.scratch.cut(classes, n=F.count(F.lit(1)))
-        self.count = seen["n"]
+        base = base.select("id", F.concat_ws("/", F.col("m"), F.size("v").cast("string")).alias("model"), "v")
+        for seed in (0, 1, 2):
+            # a class is known by a 64-bit hash; a second one tells whether two different vectors met in it
+            self.rows = base.withColumn("c", F.xxhash64(F.lit(seed), "model", "v"))
+            told = self.rows.select("c", F.hash("model", "v").alias("h"), F.size("v").alias("width")).groupBy("c").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("width").alias("width"))
+            seen = told.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("x") != F.col("y")).cast("int")).alias("clash"), F.max("width").alias("width")).first()
+            if not seen["clash"]:
+                self.count, self.width = seen["n"], seen["width"] or 1
+                return
+        raise HashCollision("three seeds gave equal numbers to different vectors")
 
     # ---- candidates
 
-    def _forest(self, trees: int, leaf: int) -> ProjectionTrees:
-        share = min(1.0, SAMPLE_ROWS / max(1, self.count))
-        part = self.classes.where(F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        rows = part.select("model", "q").limit(2 * SAMPLE_ROWS).toPandas()
-        sample = {m: np.frombuffer(b"".join(g["q"]), dtype=np.int8).reshape(len(g), -1) for m, g in rows.groupby("model")}
-        return ProjectionTrees(sample, share, trees, leaf)
-
-    def candidates(self, k: int, floor: float, *, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-        """a, b (a < b): pairs of classes that share a leaf and may be of interest to a or b."""
-        if self.count == 0:
-            return self.spark.createDataFrame([], "a long, b long")
-        forest = self._forest(trees, leaf)
+    def _forest(self, trees: int | None, leaf: int) -> ProjectionTrees:
+        """Trees fitted on a sample of rows chosen by hash: about SAMPLE_ROWS or SAMPLE_BYTES, at most twice as much."""
+        most = min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (4 * self.width)))
+        share = min(1.0, most / max(1, self.count))
+        part = self.rows.where(F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["c"])
+        sample: dict[str, list] = {}
+        table = part.select("model", "v").limit(2 * most).toArrow()
+        for batch in table.to_batches():
+            for m, w, at, block in _blocks(batch):
+                sample.setdefault(m, []).append(_unit(block).astype(np.float32))
+        return ProjectionTrees({m: np.concatenate(v) for m, v in sample.items()}, share, trees, leaf)
+
+    def _coded(self, forest: ProjectionTrees | None) -> DataFrame:
+        """c, model, q, scale, error of every class, with its leaf in each tree."""
 
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["c", "model", "q", "scale", "error", "leaves"]
             for batch in batches:
-                table = pa.Table.from_batches([batch])
-                models = table.column("model").to_numpy()
-                for m in sorted(set(models)):
-                    own = table.take(pa.array(np.flatnonzero(models == m)))
-                    _, q, _, _ = _decode(own)
-                    for t in range(forest.trees):
-                        block = pa.array(forest.leaves(m, q, t) * forest.trees + t)
-                        yield from own.append_column("block", block).to_batches()
+                for m, _, at, block in _blocks(batch):
+                    q, scale, error = quantise(block)
+                    c = batch.column("c").take(pa.array(at))
+                    leaves = np.empty((len(at), 0), dtype=np.int64)
+                    if forest is not None and m in forest.depth:
+                        unit, keys = _unit(block).astype(np.float32), c.to_numpy()
+                        leaves = np.stack([forest.leaves(m, unit, t, keys) for t in range(forest.trees[m])], axis=1)
+                    elif forest is not None:  # a model that the sample missed has a single block
+                        leaves = np.zeros((len(at), 1), dtype=np.int64)
+                    offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * leaves.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [c, pa.array([m] * len(at)), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(error), pa.ListArray.from_arrays(offsets, pa.array(leaves.ravel()))], names=names
+                    )
+
+        coded = self.rows.select("c", "model", "v").mapInArrow(run, "c long, model string, q binary, scale float, error float, leaves array<long>")
+        firsts = [F.first(x).alias(x) for x in ("q", "scale", "error", "leaves")]
+        return self.scratch.cut(coded.groupBy("c", "model").agg(*firsts))[0]
+
+    def candidates(self, k: int, floor: float, *, trees: int | None = None, leaf: int = LEAF, exact: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """a, b (a < b): pairs of classes of a block that may be of interest to a or b; and block, c, dense: the members
+        of blocks with rows of more than DENSE survivors (None if there are none)."""
+        if self.count == 0:
+            return self.spark.createDataFrame([], "a long, b long"), None
+        if exact:
+            tiles = max(1, -(-self.count // leaf))
+            rows = self._coded(None)
+            mine = F.pmod(F.xxhash64(F.lit(29), "c"), F.lit(tiles))
+            # a row of tile i meets tile j in the block (least, greatest): every pair of tiles is one task
+            spread = rows.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+            low, high = F.least("i", "j"), F.greatest("i", "j")
+            placed = spread.select("model", (low * tiles + high).alias("block"), (F.col("i") > F.col("j")).alias("side"), "c", "q", "scale", "error")
+        else:
+            rows = self._coded(self._forest(trees, leaf))
+            spread = rows.select("*", F.posexplode("leaves").alias("tree", "node"))
+            placed = spread.select("model", (F.col("node") * 4096 + F.col("tree")).alias("block"), F.lit(False).alias("side"), "c", "q", "scale", "error")
 
         def join(table: pa.Table) -> pa.Table:
+            block = table.column("block")[0].as_py()
+            side = table.column("side").to_numpy()
             c, q, scale, error = _decode(table)
-            parts = []
-            for i in range(0, len(c), TILE):
-                a = slice(i, i + TILE)
-                for j in range(i, len(c), TILE):
-                    b = slice(j, j + TILE)
-                    x, y = tile_pairs(q[a], scale[a], error[a], q[b], scale[b], error[b], k, floor, i == j)
-                    parts.append((c[a][x], c[b][y]))
-                    if i != j:
-                        x, y = tile_pairs(q[b], scale[b], error[b], q[a], scale[a], error[a], k, floor, False)
-                        parts.append((c[b][x], c[a][y]))
-            a, b = (np.concatenate([p[s] for p in parts]) for s in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-        placed = self.classes.mapInArrow(place, "c long, model string, q binary, scale float, error float, block long")
-        found = placed.groupBy("model", "block").applyInArrow(join, "a long, b long")
-        return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+            pairs, dense = [], []
+
+            def note(part: int, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+                """Pairs of places x and y; rows with too many go to the float join of the block with all they met."""
+                many = np.bincount(x, minlength=len(a)) > DENSE
+                full = many[x]
+                pairs.append(np.stack([np.minimum(a[x], b[y]), np.maximum(a[x], b[y])], axis=1)[~full])
+                if full.any():
+                    told = np.concatenate([np.stack([a[many], np.ones(many.sum(), np.int64)], axis=1), np.stack([b[np.unique(y[full])], np.zeros(len(np.unique(y[full])), np.int64)], axis=1)])
+                    dense.append(np.concatenate([np.full((len(told), 1), part), told], axis=1))
+
+            if exact and side.any():
+                a, b = np.flatnonzero(~side), np.flatnonzero(side)
+                for part, (p, r) in enumerate(((a, b), (b, a))):
+                    note(part, c[p], c[r], *block_survivors(q[p], scale[p], error[p], (q[r], scale[r], error[r]), k, floor))
+            else:
+                for part, rows in enumerate([np.arange(len(q))] if exact else halves(q, 2 * leaf)):
+                    note(part, c[rows], c[rows], *block_survivors(q[rows], scale[rows], error[rows], None, k, floor))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            close = np.concatenate(dense) if dense else np.empty((0, 3), np.int64)
+            n, m = len(found), len(close)
+            name = f"{table.column('model')[0].as_py()}/{block}/"
+            return pa.table(
+                {
+                    "a": pa.array(np.concatenate([found[:, 0], close[:, 1]])),
+                    "b": pa.array(np.concatenate([found[:, 1], close[:, 2]])),
+                    "block": pa.array([None] * n + [f"{name}{x}" for x in close[:, 0]], pa.string()),
+                }
+            )
+
+        found, seen, _ = self.scratch.cut(placed.groupBy("model", "block").applyInArrow(join, "a long, b long, block string"), dense=F.count("block"))
+        pairs = found.where(F.col("block").isNull()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+        if not seen["dense"]:
+            return pairs, None
+        return pairs, found.where(F.col("block").isNotNull()).groupBy("block", F.col("a").alias("c")).agg(F.max("b").alias("dense"))
+
+    def dense_similarities(self, members: DataFrame, k: int) -> DataFrame:
+        """a, b, similarity: the k best members of its block for every dense row, from the float vectors."""
+
+        def run(table: pa.Table) -> pa.Table:
+            c, dense = table.column("c").to_numpy(), table.column("dense").to_numpy() > 0
+            order = np.argsort(c, kind="stable")
+            unit = np.concatenate([_unit(block)[:, :] for batch in table.combine_chunks().to_batches() for _, _, _, block in _blocks(batch)])[order]
+            c, dense = c[order], dense[order]
+            rows = np.flatnonzero(dense)
+            best = KBest(len(rows), k)
+            for i in range(0, len(rows), TILE):
+                own = rows[i : i + TILE]
+                for j in range(0, len(c), TILE):
+                    value = np.round(unit[own] @ unit[j : j + TILE].T, 12)
+                    inside = (own >= j) & (own < j + value.shape[1])
+                    value[np.flatnonzero(inside), own[inside] - j] = -np.inf
+                    best.push(slice(i, i + TILE), value, np.arange(j, j + value.shape[1]))
+            x, y = np.nonzero(np.isfinite(best.value))
+            a, b = c[rows[x]], c[best.column[x, y]]
+            return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "similarity": pa.array(best.value[x, y])})
+
+        wanted = members.select("c").distinct()
+        vectors = self.rows.select("c", "model", "v").join(wanted, "c", "left_semi").groupBy("c").agg(F.first("model").alias("model"), F.first("v").alias("v"))
+        found = members.join(vectors, "c").groupBy("block").applyInArrow(run, "a long, b long, similarity double")
+        return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
     # ---- similarities
 
@@ -213,8 +380,12 @@ class Neighbours:
 
     def top(self, k: int, floor: float, **how) -> DataFrame:
         """id, other, similarity, place (1 .. k): the k best others of every id with a similarity of ``floor`` or more."""
-        pairs, _, _ = self.scratch.cut(self.candidates(k, floor, **how))  # read three times below
-        sims, _, _ = self.scratch.cut(self.similarities(pairs).where(F.col("similarity") >= floor))
+        pairs, dense = self.candidates(k, floor, **how)
+        pairs, _, _ = self.scratch.cut(pairs)  # read three times below
+        sims = self.similarities(pairs)
+        if dense is not None:
+            sims = sims.unionAll(self.dense_similarities(self.scratch.cut(dense)[0], k)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        sims, _, _ = self.scratch.cut(sims.where(F.col("similarity") >= floor))
         names = self.rows.select("c", "id").groupBy("c", "id").agg(F.count(F.lit(1)).alias("n")).select("c", "id")
         inside = Window.partitionBy("c").orderBy("id")
         # of a class only its first k + 1 ids can be anyone's neighbours; the limit is applied before the exchange

@@ -82,3 +82,59 @@ def test_trees_split_evenly():
     t = nb.ProjectionTrees({"m": q}, 1.0, 3, 250)
     for tree in range(3):
         assert np.bincount(t.leaves("m", q, tree)).max() <= 300
+
+
+def test_exact_tiling_is_complete(spark):
+    """Every pair of tiles is a block: all true pairs, whatever the leaf size and the data."""
+    rows = data(8, groups=30, noise=150)
+    plain = lambda pairs: {p for p in pairs if not p[0].startswith("copy")}
+    assert plain(search(spark, rows, leaf=50, exact=True)) == plain(brute(rows, 5, 0.9))
+
+
+def near_duplicates(n, dim=16, noise=1e-4, seed=2):
+    r = np.random.default_rng(seed)
+    c = r.standard_normal(dim)
+    return [(f"d{i}", "m", [float(x) for x in (c + r.standard_normal(dim) * noise).astype(np.float32)], 1) for i in range(n)]
+
+
+def test_near_duplicates_give_k_pairs_a_row(spark):
+    """int8 can't tell the members apart, so all pairs of a block survive; only the k best of each row leave the task."""
+    rows = near_duplicates(1500)
+    df = spark.createDataFrame(rows, SCHEMA)
+    n = nb.Neighbours(df, F.col("id"), F.col("m"), F.col("v"))
+    pairs, dense = n.candidates(5, 0.9)
+    assert dense is not None and pairs.count() <= nb.DENSE * len(rows) and dense.count() <= len(rows)
+    assert n.dense_similarities(dense, 5).count() <= 5 * len(rows)
+    got, want = search(spark, rows), brute(rows, 5, 0.9)
+    assert len(got) == 5 * len(rows) and len({a for a, _ in got}) == len(rows)
+    assert len({(min(p), max(p)) for p in got} & {(min(p), max(p)) for p in want}) >= 0.9 * len({(min(p), max(p)) for p in want})
+
+
+def test_a_third_of_rows_in_one_cluster_splits():
+    """No group or block grows with a cluster: split points fall inside it, ties are dealt by hash."""
+    r = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    v = unit(np.concatenate([r.standard_normal((4000, 16)), r.standard_normal(16) + r.standard_normal((2000, 16)) * 1e-6]))
+    keys = r.integers(-(2**63), 2**63 - 1, len(v))
+    t = nb.ProjectionTrees({"m": v}, 1.0, 2, 250)
+    assert max(np.bincount(t.leaves("m", v, k, keys)).max() for k in range(2)) <= 700
+    same = np.repeat(v[:1], 3000, axis=0)
+    parts = nb.halves(np.zeros((3000, 8), np.int8), 200)
+    assert max(map(len, parts)) <= 200 and sorted(np.concatenate(parts)) == list(range(3000))
+    assert np.bincount(t.leaves("m", same, 0, r.integers(-(2**63), 2**63 - 1, len(same)))).max() <= 3000
+
+
+def test_k_best_lists_over_tiles():
+    r = np.random.default_rng(9)
+    s = np.round(r.random((40, 300)), 1)  # many ties
+    best = nb.KBest(40, 5)
+    for j in range(0, 300, 64):
+        best.push(slice(0, 40), s[:, j : j + 64], np.arange(j, min(300, j + 64)))
+    for i in range(40):
+        want = np.lexsort((np.arange(300), -s[i]))[:5]
+        assert list(best.column[i]) == list(want)
+
+
+def test_trees_grow_with_depth():
+    assert [nb.trees_for(d) for d in (0, 6, 7, 13)] == [5, 5, 6, 12]
+    assert nb.levels(100, 4096) == 0 and nb.levels(8193, 4096) == 2
