@@ -91,7 +91,7 @@ def test_exact_tiling_is_complete(spark):
     assert plain(search(spark, rows, leaf=50, exact=True)) == plain(brute(rows, 5, 0.9))
 
 
-def near_duplicates(n, dim=16, noise=1e-4, seed=2):
+def near_duplicates(n, dim=16, noise=3e-3, seed=2):
     r = np.random.default_rng(seed)
     c = r.standard_normal(dim)
     return [(f"d{i}", "m", [float(x) for x in (c + r.standard_normal(dim) * noise).astype(np.float32)], 1) for i in range(n)]
