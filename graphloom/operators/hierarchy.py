@@ -1,13 +1,16 @@
 """Parent-child links of unknown depth to full hierarchies.
 
-1. Leaves are peeled in doubling rounds: after round j every node that has no ancestor 2^j steps up is gone. What never
-   goes away hangs from a loop; the loops are what remains of it under the same peeling.
+1. Leaves are peeled in doubling rounds. After k rounds of peeling leaves one by one, the nodes with a descendant k steps
+   down are left; round j has the nodes with one 2^j steps down, so a chain of any length is gone in log2 rounds. What
+   never goes away are the loops. Each loop is cut above its smallest id, which makes a tree of all that hangs on it.
 2. Every tree becomes an Euler tour, a linked list of entries and exits (a leaf is one element that counts for two).
 3. Parallel list ranking by pointer doubling gives every element its distance to the end of its list and the sum of
-   up and down steps on the way: entry, exit, depth and root in log2(tour length) rounds.
+   up and down steps on the way: entry, exit, depth and root in log2(tour length) rounds. Elements that have reached the
+   end of their list take no part in later rounds.
 
 Descendants of a node are the rows of its tree whose entry lies inside its (entry, exit) interval.
-Each round is a shuffle join written to the shared folder; nothing is collected but counters.
+Each round is a join written to the shared folder; nothing is collected but counters. Joins on the root of a tree have one
+row a tree on one side, so that a tree of most nodes is left to the skew join of adaptive execution.
 """
 
 from __future__ import annotations
@@ -16,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.canonical import canonical_type, present
-from graphloom.shared import Scratch
+from graphloom.shared import Scratch, row_count
 
-SLOTS = 256
+#: children of one node are chained in at least so many slots, more where a slot could hold more than SLOT_ROWS
+SLOTS, SLOT_ROWS = 256, 1 << 20
 BLOCK = 4096
 
 
@@ -37,7 +41,8 @@ class Forest:
     ``parent`` and ``child`` are string columns. Defined cases:
 
     * links with a null, empty or blank end are ignored; repeated links count once; surrounding blanks are kept;
-    * of several parents of a node the smallest id holds (a forest has none);
+    * of several parents of a node the smallest id holds; the links left out so are in ``extra_parents`` and counted in
+      ``extra`` (a forest has none);
     * a link from a node to itself is a loop of one node;
     * nodes on a loop, or below one, get depth -1, the smallest id on the loop as root, and null entry and exit;
       with ``loops=True`` the results cover them too: each loop is cut above its smallest id, which makes a tree of
@@ -48,10 +53,10 @@ class Forest:
     def __init__(self, links: DataFrame, parent: Column, child: Column):
         self.spark = links.sparkSession
         self.scratch = Scratch(self.spark, "forest")
-        usable = links.select(parent.alias("parent"), child.alias("child")).where(present(F.col("parent")) & present(F.col("child")))
-        one = usable.groupBy("child").agg(F.min("parent").alias("parent"))
-        self.links, stats, _ = self.scratch.cut(one, n=F.count(F.lit(1)))
-        self.size = stats["n"]
+        self.usable = links.select(parent.alias("parent"), child.alias("child")).where(present(F.col("parent")) & present(F.col("child")))
+        one = self.usable.groupBy("child").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
+        self.links, stats, _ = self.scratch.cut(one, n=F.count(F.lit(1)), extra=F.sum((F.col("parent") != F.col("other")).cast("long")))
+        self.size, self.extra = stats["n"], stats["extra"]
         self._open = None
         for seed in (11, 23, 37):
             try:
@@ -61,6 +66,12 @@ class Forest:
                 continue
         raise HashCollision("three seeds gave equal numbers to different ids")
 
+    def extra_parents(self) -> DataFrame:
+        """node_id, parent_id, kept_id: the links to other parents than the one that holds, each once."""
+        held = self.links.where(F.col("parent") != F.col("other")).select("child", F.col("parent").alias("kept_id"))
+        links = self.usable.join(held, "child").where(F.col("parent") != F.col("kept_id"))
+        return links.select(F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "kept_id").distinct()
+
     # ---- ids
 
     def _build(self, seed: int) -> None:
@@ -72,64 +83,58 @@ class Forest:
             raise HashCollision
         up = self.links.select(_number(F.col("child"), seed).alias("n"), _number(F.col("parent"), seed).alias("p"))
         self.up, _, _ = cut(up)
-        self.loops, self.ring = self._loops(self._peel())
-        up = self.up if self.loops is None else self.up.join(self.loops.select("n"), "n", "left_anti")
-        self.tours = self._rank(self._successors(up, self.names.where("below = 0").select("n"))) if seen["roots"] else None
+        self.ring, self.cuts = self._loops(self._peel())
+        up, tops = self.up, self.names.where("below = 0").select("n")
+        if self.cuts is not None:
+            up, tops = up.join(self.cuts.select("n"), "n", "left_anti"), tops.unionAll(self.cuts.select("n"))
+        self.tours = self._rank(self._successors(up, tops)) if self.size else None
 
     # ---- peeling
 
     def _peel(self) -> DataFrame | None:
-        """Nodes without a topmost ancestor (n, p), or None if there are none."""
-        reach, count, old = self.up, self.size, None
+        """The nodes on loops (n), or None if there are none."""
+        # jump: the node 2^j above, of the nodes that 2^j rounds of peeling leave, as far as there is one so far up
+        jump, count, old = self.up, self.size, None
         while count:
-            further = reach.alias("a").join(reach.alias("b"), F.col("a.p") == F.col("b.n")).select(F.col("a.n").alias("n"), F.col("b.p").alias("p"))
-            reach, seen, path = self.scratch.cut(further, n=F.count(F.lit(1)))
+            left = jump.select(F.col("p").alias("n")).distinct()
+            further = jump.join(left, "n", "left_semi").alias("a").join(jump.alias("b"), F.col("a.p") == F.col("b.n")).select(F.col("a.n").alias("n"), F.col("b.p").alias("p"))
+            jump, seen, path = self.scratch.cut(further, n=F.count(F.lit(1)))
             if old:
                 self.scratch.drop(old)
             old = path
-            if seen["n"] == count:  # a round without progress: only nodes above no root are left
-                return self.up.join(reach.select("n"), "n", "left_semi")
+            if seen["n"] == count:  # no leaf was left to peel, and no node lacks an ancestor: these are loops
+                return jump.select("n")
             count = seen["n"]
         return None
 
-    def _loops(self, left: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-        """n, root (the smallest id on the loop) of every node on or below a loop; n of those on one."""
-        if left is None:
+    def _loops(self, ring: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """n of the nodes on loops; and n of the smallest id on each."""
+        if ring is None:
             return None, None
-        start = left.join(self.names.select("n", "id"), "n").select("n", "p", F.col("id").alias("low"))
-        state, seen, old = self.scratch.cut(start)
-        images = -1
+        around = self.up.join(ring, "n", "left_semi")
+        start = around.join(self.names.select("n", "id"), "n").select("n", F.col("p").alias("next"), "p", "id", F.col("id").alias("low"))
+        state, _, old = self.scratch.cut(start)
         while True:
             # low: smallest id among the node and the 2^j - 1 next ones above it; p: the node 2^j above
             a, b = state.alias("a"), state.alias("b")
-            paired = a.join(b, F.col("a.p") == F.col("b.n")).select(
-                F.col("a.n").alias("n"), F.col("b.p").alias("p"), F.least("a.low", "b.low").alias("low"), F.col("b.low").alias("above"), F.col("a.p").alias("image")
-            )
+            paired = a.join(b, F.col("a.p") == F.col("b.n")).select("a.n", "a.next", F.col("b.p").alias("p"), "a.id", F.least("a.low", "b.low").alias("low"))
             nxt, _, path = self.scratch.cut(paired)
-            tops = nxt.groupBy("image").agg(F.first("above").alias("low"))  # one value: a function of image
-            after = tops.join(state.select(F.col("n"), F.col("p").alias("then")), F.col("image") == F.col("n"))
-            after = after.join(state.select(F.col("n").alias("m"), F.col("low").alias("then_low")), F.col("then") == F.col("m"))
-            check = after.agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("low") != F.col("then_low"), 1).otherwise(0)).alias("odd")).first()
-            if check["k"] == images and not check["odd"]:
-                # no leaf was peeled, so images are the loops; equal neighbouring windows cover a loop, so low is its least
-                return nxt.select("n", F.col("above").alias("root")), nxt.select(F.col("image").alias("n")).distinct()
+            beside = nxt.alias("a").join(nxt.alias("b"), F.col("a.next") == F.col("b.n")).where(F.col("a.low") != F.col("b.low"))
+            if not row_count(beside.select("a.n")):  # equal windows all the way round cover the loop
+                return nxt.select("n"), nxt.where(F.col("id") == F.col("low")).select("n")
             self.scratch.drop(old)
-            old, images = path, check["k"]
-            state = nxt.select("n", "p", "low")
+            state, old = nxt, path
 
     # ---- Euler tours
 
-    def _cuts(self) -> DataFrame:
-        """n of the smallest id on each loop, whose link to its parent is the one that is cut."""
-        return self.loops.join(self.names.select("n", "id"), "n").where(F.col("id") == F.col("root")).select("n")
-
     def _successors(self, up: DataFrame, tops: DataFrame) -> DataFrame:
         """e, nxt (0 at the end of a list), w (step), c (elements it stands for) for the tours of the trees below ``tops``."""
         # brothers are chained in the order of their numbers; a node with very many children is split into slots
-        slotted = up.select("n", "p", F.shiftright("n", 56).alias("slot"))
+        bits = max(SLOTS, self.size // SLOT_ROWS).bit_length() - 1
+        slotted = up.select("n", "p", F.shiftright("n", 64 - bits).alias("slot"))
         heads = slotted.groupBy("p", "slot").agg(F.min("n").alias("head"))
         inside = Window.partitionBy("p", "slot").orderBy("n")
-        over = Window.partitionBy("p").orderBy("slot")  # at most SLOTS rows a node
+        over = Window.partitionBy("p").orderBy("slot")  # one row a slot of a node
         heads = heads.select("p", "slot", F.lead("head").over(over).alias("after"), F.first("head").over(over).alias("first"))
         heads, _, _ = self.scratch.cut(heads)
         kids = slotted.select("*", F.lead("n").over(inside).alias("brother"))
@@ -151,30 +156,37 @@ class Forest:
 
     def _rank(self, elements: DataFrame) -> DataFrame:
         """e, end, w, c: the last element of its list, the steps and the elements from e to it, both included."""
-        start = elements.select("e", "nxt", F.col("e").alias("end"), "w", "c")
-        state, seen, old = self.scratch.cut(start, open=F.sum((F.col("nxt") != 0).cast("long")))
+        start = elements.select("e", "nxt", F.col("e").alias("end"), "w", "c", (F.col("nxt") == 0).alias("shut"))
+        table, seen, path = self.scratch.cut(start, by="shut", open=F.sum((F.col("nxt") != 0).cast("long")))
+        running, done = table.where("NOT shut"), [table.where("shut")]
         while seen["open"]:
-            a, b = state.alias("a"), state.alias("b")
-            joined = a.join(b, (F.col("a.nxt") == F.col("b.e")) & (F.col("a.nxt") != 0), "left")
-            met = F.col("b.e").isNotNull()
-            pick = lambda new, kept: F.when(met, new).otherwise(F.col(kept))
-            nxt = joined.select(
+            every = running
+            for d in done:
+                every = every.unionAll(d)
+            a, b = running.alias("a"), every.alias("b")
+            ahead = a.join(b, F.col("a.nxt") == F.col("b.e")).select(
                 F.col("a.e").alias("e"),
-                pick(F.col("b.nxt"), "a.nxt").alias("nxt"),
-                pick(F.col("b.end"), "a.end").alias("end"),
-                pick(F.col("a.w") + F.col("b.w"), "a.w").alias("w"),
-                pick(F.col("a.c") + F.col("b.c"), "a.c").alias("c"),
+                F.col("b.nxt").alias("nxt"),
+                F.col("b.end").alias("end"),
+                (F.col("a.w") + F.col("b.w")).alias("w"),
+                (F.col("a.c") + F.col("b.c")).alias("c"),
+                (F.col("b.nxt") == 0).alias("shut"),
             )
-            state, seen, path = self.scratch.cut(nxt, open=F.sum((F.col("nxt") != 0).cast("long")))
-            self.scratch.drop(old)
-            old = path
-        return state
+            table, seen, new = self.scratch.cut(ahead, by="shut", open=F.sum((F.col("nxt") != 0).cast("long")))
+            self.scratch.drop(f"{path}/shut=false")
+            running, path = table.where("NOT shut"), new
+            done.append(table.where("shut"))
+        every = done[0]
+        for d in done[1:]:
+            every = every.unionAll(d)
+        return every
 
     # ---- results
 
-    def _intervals(self, tours: DataFrame) -> DataFrame:
-        """n, root (number), depth, entry, exit of every node of a tree. Entries and exits count from 0 within a tree."""
-        one = tours.select(
+    def _intervals(self) -> DataFrame:
+        """n, root (number), depth, entry, exit of every node of a tree or a cut loop, and whether it is of a loop.
+        Entries and exits count from 0 within a tree."""
+        one = self.tours.select(
             F.col("e").bitwiseAND(F.lit(-2)).alias("n"),
             F.col("end").bitwiseAND(F.lit(-2)).alias("root"),
             F.when(F.col("e").bitwiseAND(F.lit(1)) == 0, F.struct("c", "w")).alias("enter"),
@@ -184,28 +196,42 @@ class Forest:
         totals = node.where(F.col("n") == F.col("root")).select(F.col("root").alias("t"), F.col("enter.c").alias("total"))
         placed = node.join(totals, F.col("root") == F.col("t"))
         entry = F.col("total") - F.col("enter.c")
-        return placed.select("n", "root", (-F.col("enter.w")).cast("int").alias("depth"), entry.alias("entry"), F.coalesce(F.col("total") - F.col("leave"), entry + 1).alias("exit"))
+        placed = placed.select("n", "root", (-F.col("enter.w")).cast("int").alias("depth"), entry.alias("entry"), F.coalesce(F.col("total") - F.col("leave"), entry + 1).alias("exit"))
+        if self.cuts is None:
+            return placed.withColumn("looped", F.lit(False))
+        return placed.join(self.cuts.select(F.col("n").alias("cut")), F.col("root") == F.col("cut"), "left").withColumn("looped", F.col("cut").isNotNull()).drop("cut")
 
     def _opened(self) -> DataFrame:
-        """The intervals of the nodes on and below loops, each loop cut above its smallest id, and of those on a loop
-        its length (lap) and the places of the whole tour (total)."""
+        """``_intervals`` with, for nodes on a loop, its length (lap) and the places of its whole tour (total)."""
         if self._open is None:
-            tops, _, _ = self.scratch.cut(self._cuts())
-            up = self.up.join(self.loops.select("n"), "n", "left_semi").join(tops, "n", "left_anti")
-            placed, _, _ = self.scratch.cut(self._intervals(self._rank(self._successors(up, tops))))
-            on = placed.join(self.ring, "n", "left_semi").select("n", "root", "exit")
-            laps = on.groupBy("root").agg(F.count(F.lit(1)).alias("lap"), (F.max("exit") + 1).alias("total"))
-            self._open, _, _ = self.scratch.cut(placed.join(on.join(laps, "root").select("n", "lap", "total"), "n", "left"))
+            placed, _, _ = self.scratch.cut(self._intervals())
+            none = F.lit(None).cast("long")
+            if self.ring is None:
+                self._open = placed.withColumns({"lap": none, "total": none})
+            else:
+                on = placed.where("looped").join(self.ring, "n", "left_semi").select("n", "root", "exit")
+                laps = on.groupBy("root").agg(F.count(F.lit(1)).alias("lap"), (F.max("exit") + 1).alias("total"))
+                self._open, _, _ = self.scratch.cut(placed.join(on.join(laps, "root").select("n", "lap", "total"), "n", "left"))
         return self._open
 
+    def _empty(self, fields: str) -> DataFrame:
+        return self.spark.createDataFrame([], fields)
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        """Numbers n and r to node_id and root_id, and whether the root is the cut of a loop; roots are the smaller table."""
+        names = self.names.select("n", F.col("id").alias("node_id"))
+        roots = self.names.where("below = 0").select(F.col("n").alias("rn"), F.col("id").alias("root_id"), F.lit(False).alias("looped"))
+        if self.cuts is not None:
+            roots = roots.unionAll(self.cuts.join(self.names, "n").select("n", "id", F.lit(True)))
+        return df.join(names, "n").join(roots, F.col("r") == F.col("rn"))
+
     def depths(self) -> DataFrame:
         """node_id, root_id, depth of every node: what needs no interval is read off the ranks of the entries alone."""
-        parts = []
-        if self.tours is not None:
-            enter = self.tours.where(F.col("e").bitwiseAND(F.lit(1)) == 0)
-            ranked = enter.select(F.col("e").alias("n"), F.col("end").bitwiseAND(F.lit(-2)).alias("r"), (-F.col("w")).cast("int").alias("depth"))
-            parts.append(self._named(ranked).select("node_id", "root_id", "depth"))
-        return self._with_loops(parts, [])
+        if self.tours is None:
+            return self._empty("node_id string, root_id string, depth int")
+        enter = self.tours.where(F.col("e").bitwiseAND(F.lit(1)) == 0)
+        ranked = enter.select(F.col("e").alias("n"), F.col("end").bitwiseAND(F.lit(-2)).alias("r"), (-F.col("w")).cast("int").alias("steps"))
+        return self._named(ranked).select("node_id", "root_id", F.when(F.col("looped"), -1).otherwise(F.col("steps")).alias("depth"))
 
     def nodes(self, loops: bool = False) -> DataFrame:
         """node_id, parent_id, root_id, depth, entry, exit, descendants of every node that is an end of a link.
@@ -213,37 +239,18 @@ class Forest:
         With ``loops``, nodes on and below loops have descendants, and entry and exit in the tour of the cut loop. A
         node on a loop has all others of the loop and below it as descendants, more than its interval holds.
         """
-        parts = []
+        if self.tours is None:
+            return self._empty("node_id string, parent_id string, root_id string, depth int, entry long, exit long, descendants long")
         inside = ((F.col("exit") - F.col("entry") - 1) / 2).cast("long")
-        if self.tours is not None:
-            placed = self._named(self._intervals(self.tours).withColumnRenamed("root", "r"))
-            parts.append(placed.select("node_id", "root_id", "depth", "entry", "exit", inside.alias("descendants")))
-        if loops and self.loops is not None:
-            placed = self._opened().drop("root", "depth").join(self.loops, "n").join(self.names.select("n", F.col("id").alias("node_id")), "n")
-            count = F.coalesce((F.col("total") / 2 - 1).cast("long"), inside)
-            parts.append(placed.select("node_id", F.col("root").alias("root_id"), F.lit(-1).alias("depth"), "entry", "exit", count.alias("descendants")))
-        every = self._with_loops(parts, ["entry", "exit", "descendants"], done=loops)
+        placed = self._named(self._opened().drop("looped").withColumnRenamed("root", "r"))
+        shown = F.lit(True) if loops else ~F.col("looped")
+        count = F.coalesce((F.col("total") / 2 - 1).cast("long"), inside)
+        every = placed.select(
+            "node_id", "root_id", F.when(F.col("looped"), -1).otherwise(F.col("depth")).alias("depth"), *[F.when(shown, c).alias(k) for k, c in (("entry", F.col("entry")), ("exit", F.col("exit")), ("descendants", count))]
+        )
         up = self.links.select(F.col("child").alias("c"), F.col("parent").alias("parent_id"))
         return every.join(up, F.col("node_id") == F.col("c"), "left").select("node_id", "parent_id", "root_id", "depth", "entry", "exit", "descendants")
 
-    def _named(self, df: DataFrame) -> DataFrame:
-        """Numbers n and r to node_id and root_id; the roots are the smaller table."""
-        names = self.names.select("n", F.col("id").alias("node_id"))
-        roots = self.names.where("below = 0").select(F.col("n").alias("rn"), F.col("id").alias("root_id"))
-        return df.join(names, "n").join(roots, F.col("r") == F.col("rn"))
-
-    def _with_loops(self, parts: list[DataFrame], extra: list[str], done: bool = False) -> DataFrame:
-        if self.loops is not None and not done:
-            looped = self.loops.join(self.names.select("n", F.col("id").alias("node_id")), "n")
-            parts.append(looped.select("node_id", F.col("root").alias("root_id"), F.lit(-1).alias("depth"), *[F.lit(None).cast("long").alias(c) for c in extra]))
-        if not parts:
-            fields = "node_id string, root_id string, depth int" + "".join(f", {c} long" for c in extra)
-            return self.spark.createDataFrame([], fields)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
-
     def paths(self, loops: bool = False) -> DataFrame:
         """node_id, path: ids from the root down to the node. Nodes on or below loops are left out.
 
@@ -253,16 +260,11 @@ class Forest:
         """
         links, names = self.links.withColumn("ring", F.lit(0)), self.names
         tops = names.where("below = 0").select("id", F.lit(0).alias("ring"))
-        if self.loops is not None:
-            looped = self.loops.join(names.select("n", "id"), "n")
-            bad = looped.select(F.col("id").alias("child"))
-            if loops:
-                on = self.ring.join(names.select("n", "id"), "n").select(F.col("id").alias("child"), F.lit(1).alias("one"))
-                cuts = looped.where(F.col("id") == F.col("root")).select(F.col("id").alias("child"))
-                links = self.links.join(cuts, "child", "left_anti").join(on, "child", "left").select("child", "parent", F.coalesce("one", F.lit(0)).alias("ring"))
-                tops = tops.unionAll(cuts.select(F.col("child").alias("id"), F.lit(1).alias("ring")))
-            else:
-                links = links.join(bad, "child", "left_anti")
+        if self.cuts is not None:
+            on = self.ring.join(names.select("n", "id"), "n").select(F.col("id").alias("child"), F.lit(1).alias("one"))
+            cuts = self.cuts.join(names.select("n", "id"), "n").select(F.col("id").alias("child"))
+            links = self.links.join(cuts, "child", "left_anti").join(on, "child", "left").select("child", "parent", F.coalesce("one", F.lit(0)).alias("ring"))
+            tops = tops.unionAll(cuts.select(F.col("child").alias("id"), F.lit(1).alias("ring")))
         start = links.select(F.col("child").alias("node_id"), F.col("parent").alias("up"), F.array("child").alias("path"), "ring")
         roots = tops.select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("up"), F.array("id").alias("path"), "ring")
         state, seen, old = self.scratch.cut(start.unionAll(roots), open=F.sum(F.col("up").isNotNull().cast("long")))
@@ -276,7 +278,8 @@ class Forest:
             state, seen, at = self.scratch.cut(nxt, open=F.sum(F.col("up").isNotNull().cast("long")))
             self.scratch.drop(old)
             old = at
-        return state.select("node_id", "path", "ring") if loops else state.select("node_id", "path")
+        # a path begins with a node of the loop exactly where its node is on or below one
+        return state.select("node_id", "path", "ring") if loops else state.where("ring = 0").select("node_id", "path")
 
     def descendants(self, requests: DataFrame, node: Column, max_depth: Column, keep: list[str], loops: bool = False) -> DataFrame:
         """``keep`` columns of each request with descendant_id and distance (1 .. max_depth) of its node.
@@ -287,13 +290,10 @@ class Forest:
         numbers are the join key: no tree, however large, meets in one task. A node on a loop asks for what lies outside
         its interval as well, which is reached by going round to the place of the cut.
         """
-        parts = [] if self.tours is None else [self._intervals(self.tours).select("*", F.lit(None).cast("long").alias("lap"), F.lit(None).cast("long").alias("total"))]
-        if loops and self.loops is not None:
-            parts.append(self._opened().select("n", "root", "depth", "entry", "exit", "lap", "total"))
-        if not parts:
+        if self.tours is None:
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*keep).schema.fields)
-            return self.spark.createDataFrame([], f"{fields}, descendant_id string, distance int")
-        placed, _, _ = self.scratch.cut(parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1]))
+            return self._empty(f"{fields}, descendant_id string, distance int")
+        placed = self._opened() if loops else self._opened().where("NOT looped")
         asked = requests.select(*[F.col(c).alias(f"k_{c}") for c in keep], node.alias("wanted"), max_depth.cast("int").alias("most"))
         at = self.names.select("n", F.col("id").alias("wanted"))
         span = lambda low, high, shift: F.struct(low.alias("low"), high.alias("high"), shift.cast("int").alias("shift"))

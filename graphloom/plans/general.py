@@ -41,6 +41,11 @@ def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest(spark, sf_dir).nodes(loops=True).select("node_id", "parent_id", "root_id", "depth", "descendants")
 
 
+def p4_extra_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to a second parent, which a forest has none of: what the hierarchy leaves out is told here."""
+    return _forest(spark, sf_dir).extra_parents()
+
+
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of every node from its root; on and below loops ``loop(...)`` marks the ids that are on the loop."""
     rest = F.slice("path", F.col("ring") + 1, F.size("path"))
@@ -75,9 +80,9 @@ t AS (SELECT target, type, count(*) AS edges, coalesce(sum(weight), 0)::BIGINT A
 
 LINKS = rf"""
 typed AS (SELECT source, target, {KIND} AS kind FROM edges WHERE regexp_matches(source, '\S') AND regexp_matches(target, '\S')),
-links AS (SELECT child, min(parent) AS parent FROM (
-  SELECT target AS child, source AS parent FROM typed WHERE kind IN ('has_method', 'has_field', 'has_parameter')
-  UNION ALL SELECT source, target FROM typed WHERE kind IN ('method_of', 'embeds')) GROUP BY child),
+either AS (SELECT target AS child, source AS parent FROM typed WHERE kind IN ('has_method', 'has_field', 'has_parameter')
+  UNION ALL SELECT source, target FROM typed WHERE kind IN ('method_of', 'embeds')),
+links AS (SELECT child, min(parent) AS parent FROM either GROUP BY child),
 ids AS (SELECT child AS id FROM links UNION SELECT parent FROM links),
 tree AS (SELECT id AS node_id, id AS root_id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent_id, id AS path FROM ids WHERE id NOT IN (SELECT child FROM links)
   UNION ALL SELECT l.child, t.root_id, t.depth + 1, l.parent, t.path || ' > ' || l.child FROM tree t JOIN links l ON l.parent = t.node_id)"""
@@ -92,17 +97,26 @@ SQL = {
     "p3_found": P3_SQL + "SELECT target, type FROM t WHERE target IS NOT NULL AND edges >= 0.01 * (SELECT sum(edges) FROM t)",
     "p3_totals": P3_SQL + "SELECT * FROM t WHERE target IS NOT NULL",
     "p4_found": f"WITH RECURSIVE {LINKS}, {LOOPS} SELECT node_id, root_id, depth FROM tree UNION ALL SELECT node_id, root_id, -1 FROM looped",
+    "p4_extra_parents": f"""WITH RECURSIVE {LINKS}
+SELECT DISTINCT child AS node_id, e.parent AS parent_id, l.parent AS kept_id FROM either e JOIN links l USING (child) WHERE e.parent <> l.parent""",
     "p4_nodes": f"""WITH RECURSIVE {LINKS}, {LOOPS},
-up AS (SELECT node_id AS id, node_id AS spot FROM tree UNION ALL SELECT u.id, l.parent FROM up u JOIN links l ON l.child = u.spot),
-cnt AS (SELECT spot, count(*) - 1 AS descendants FROM up GROUP BY spot)
-SELECT node_id, parent_id, root_id, depth, descendants FROM tree JOIN cnt ON spot = node_id
-UNION ALL SELECT node_id, parent, root_id, -1, NULL FROM looped JOIN bad ON child = node_id""",
-    "p4_paths": f"WITH RECURSIVE {LINKS} SELECT node_id, path FROM tree",
+reach AS (SELECT child AS spot, parent AS top FROM links UNION SELECT r.spot, l.parent FROM reach r JOIN links l ON l.child = r.top),
+cnt AS (SELECT top, count(*) FILTER (spot <> top) AS below FROM reach GROUP BY top),
+every AS (SELECT node_id, parent_id, root_id, depth FROM tree UNION ALL SELECT node_id, parent, root_id, -1 FROM looped JOIN bad ON child = node_id)
+SELECT node_id, parent_id, root_id, depth, coalesce(below, 0) AS descendants FROM every LEFT JOIN cnt ON top = node_id""",
+    "p4_paths": f"""WITH RECURSIVE {LINKS}, {LOOPS},
+ring AS (SELECT node_id, root_id FROM looped WHERE node_id IN (SELECT node_id FROM onloop)),
+around AS (SELECT node_id, root_id, node_id AS path FROM ring WHERE node_id = root_id
+  UNION ALL SELECT r.node_id, r.root_id, a.path || ' > ' || r.node_id FROM around a JOIN bad b ON b.parent = a.node_id JOIN ring r ON r.node_id = b.child WHERE r.node_id <> r.root_id),
+hung AS (SELECT node_id, 'loop(' || path || ')' AS path FROM around
+  UNION ALL SELECT b.child, h.path || ' > ' || b.child FROM hung h JOIN bad b ON b.parent = h.node_id WHERE b.child NOT IN (SELECT node_id FROM ring))
+SELECT node_id, path FROM tree UNION ALL SELECT node_id, path FROM hung""",
     "p4_impact": f"""WITH RECURSIVE {LINKS},
 asked AS (SELECT DISTINCT request_id, workspace, node_id, change_type, CASE WHEN max_depth > 0 THEN max_depth ELSE 5 END AS most, max_depth, asked_at FROM impact_requests WHERE request_id IS NOT NULL),
-down AS (SELECT request_id, workspace, change_type, asked_at, max_depth, most, a.node_id AS descendant_id, 0 AS distance FROM asked a JOIN tree t ON t.node_id = a.node_id
-  UNION ALL SELECT request_id, workspace, change_type, asked_at, max_depth, most, l.child, distance + 1 FROM down d JOIN links l ON l.parent = d.descendant_id WHERE distance < most)
-SELECT request_id, descendant_id, distance FROM down WHERE distance > 0""",
+seeds AS (SELECT DISTINCT node_id AS seed FROM asked),
+down AS (SELECT seed, seed AS id, 0 AS distance FROM seeds WHERE seed IN (SELECT id FROM ids)
+  UNION ALL SELECT d.seed, l.child, d.distance + 1 FROM down d JOIN links l ON l.parent = d.id WHERE l.child <> d.seed)
+SELECT request_id, id AS descendant_id, distance FROM asked JOIN down ON seed = node_id WHERE distance BETWEEN 1 AND most""",
     "p5_found": rf"""
 WITH r AS (SELECT workspace, snapshot_no, loaded_at, regexp_replace(id, {SPACE}) AS id,
   nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(semantic_hash, {SPACE})), '^[a-z0-9_-]+:', ''), '^0x', ''), '[\s:-]+', '', 'g'), '') AS h
@@ -118,4 +132,4 @@ FROM new FULL JOIN old ON new.workspace = old.workspace AND new.snapshot_no = ol
 WHERE old.h IS NULL OR new.h IS NULL OR old.h <> new.h""",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_totals, p4_found, p4_nodes, p4_paths, p4_impact, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_totals, p4_found, p4_nodes, p4_paths, p4_impact, p4_extra_parents, p5_found)}

@@ -51,16 +51,15 @@ class Scratch:
         self._next += 1
         return f"{self.base}/t{self._next}"
 
-    def cut(self, df: DataFrame, **counters) -> tuple[DataFrame, dict, str]:
-        """Write ``df``; returns it as read back, the named aggregate columns seen while writing, and the path."""
+    def cut(self, df: DataFrame, by: str | None = None, **counters) -> tuple[DataFrame, dict, str]:
+        """Write ``df``, in folders of the column ``by`` if there is one; returns it as read back, the named aggregate
+        columns seen while writing, and the path."""
         path = self.path()
-        seen = {}
-        if counters:
-            watch = Observation()
-            df.observe(watch, *[c.alias(k) for k, c in counters.items()]).write.parquet(path)
-            seen = {k: v or 0 for k, v in watch.get.items()}
-        else:
-            df.write.parquet(path)
+        watch = Observation() if counters else None
+        out = df.observe(watch, *[c.alias(k) for k, c in counters.items()]) if watch else df
+        writer = out.write.partitionBy(by) if by else out.write
+        writer.parquet(path)
+        seen = {k: v or 0 for k, v in watch.get.items()} if watch else {}
         return self.spark.read.schema(df.schema).parquet(path), seen, path
 
     def drop(self, path: str) -> None:

@@ -94,6 +94,12 @@ def test_empty_and_only_loops(spark):
     assert f.descendants(asked, F.col("node"), F.col("most"), ["request_id"]).count() == 0
 
 
+def test_extra_parents_are_told(spark):
+    f = forest(spark, [("a", "c"), ("b", "c"), ("b", "c"), ("c", "d"), ("a", "c")])
+    assert f.extra == 1 and [tuple(r) for r in f.extra_parents().collect()] == [("c", "b", "a")]
+    assert forest(spark, [("a", "b")]).extra_parents().count() == 0
+
+
 def test_link_direction(spark):
     rows = [("s", "f", "HasField"), ("m", "s", "METHOD_OF"), ("e", "s", "embeds"), ("a", "b", "calls")]
     df, p, c = parent_child(spark.createDataFrame(rows, "source string, target string, type string"))
