@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 GROUP_WINDOWS = 768
 GROUP_ITEMS = 16_384
+MOST_TASKS = 20_000
 #: a window filled to this share is kept while the others are differenced again
 KEEP_FILL = 0.995
 #: and where none is, to this much less, down to the least
@@ -125,11 +126,12 @@ def pack(items: DataFrame, limits: list[tuple[int, int]], item: str, size: str,
       or null give no rows. No items, no rows. Other columns are not read.
     * Groups hold about GROUP_WINDOWS containers or GROUP_ITEMS items: the memory of a task doesn't grow with the table.
     """
-    parts = None
+    parts, total = None, 0
     for limit_no, capacity in limits:
         if not capacity or capacity <= 0:
             continue
         groups = max(1, -(-tokens // (capacity * GROUP_WINDOWS)), -(-count // GROUP_ITEMS))
+        total += groups
         one = items.select(
             F.lit(limit_no).cast("int").alias("limit_no"),
             F.lit(capacity).cast("long").alias("capacity"),
@@ -162,4 +164,6 @@ def pack(items: DataFrame, limits: list[tuple[int, int]], item: str, size: str,
         out["n_tokens"] = np.concatenate([rest[packed], np.full(len(full), capacity)])
         return out
 
-    return parts.groupBy("limit_no", "capacity", "grp").applyInPandas(solve, schema)
+    # solving costs time, not bytes: the number of tasks is set here, where sizes would merge them into a few
+    spread = parts.repartition(min(total, MOST_TASKS), "limit_no", "capacity", "grp")
+    return spread.groupBy("limit_no", "capacity", "grp").applyInPandas(solve, schema)

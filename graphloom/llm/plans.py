@@ -13,6 +13,7 @@ from graphloom.llm.tokenizer import count_tokens, encode_texts
 from graphloom.shared import Scratch
 
 NEIGHBOURS = 5
+TOKENIZER = "byte_bpe_50k"
 MIN_SIMILARITY = 0.9
 
 
@@ -56,10 +57,11 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text in a container of every capacity of pack_limits, measured with the tokenizer named there."""
-    limits = [(r["limit_no"], r["tokenizer"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").distinct().collect()]  # a fixed table of three rows
+    """Every text in a container of every capacity of pack_limits, measured with the tokenizer named there, or with
+    TOKENIZER where none is; limits without a capacity have no containers."""
+    limits = [(r["limit_no"], r["tokenizer"] or TOKENIZER, r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").distinct().collect()]  # a fixed table of three rows
     out = None
-    for tokenizer in sorted({t for _, t, c in limits if t and c}):
+    for tokenizer in sorted({t for _, t, c in limits if c}):
         counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer=tokenizer)
         sizes, seen, _ = Scratch(spark, "packing").cut(counted, tokens=F.sum("n_tokens"), count=F.count(F.lit(1)))
         own = sorted((n, c) for n, t, c in limits if t == tokenizer and c)

@@ -12,6 +12,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,12 @@ class ByteBpe:
         self.table = PairTable(*(np.array(x, dtype=np.int64) for x in (left, right, merged)))
         self._split, self._split_ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The pair table as a dictionary, for single look-ups."""
+        full = self.table.keys != np.uint64(2**64 - 1)
+        return dict(zip(self.table.keys[full].tolist(), self.table.values[full].tolist(), strict=True))
+
     def pieces(self, text: str) -> list[str]:
         # \s without re.ASCII knows \x1c-\x1f as blanks, as the full pattern does not
         return self._split_ascii.findall(text) if text.isascii() else self._split.findall(text)
@@ -157,7 +164,8 @@ class ByteBpe:
         return ranks
 
     def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one piece of any length, by a heap over a linked list: O(n log n)."""
+        """The same merges for one piece of any length, by a heap over a linked list: O(n log n), where the rounds of a
+        matrix of one row would be quadratic."""
         ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
         first = self.table(ids[:-1], ids[1:])
         heap = [(int(first[i]), int(i)) for i in np.flatnonzero(first != NONE)]
@@ -166,9 +174,10 @@ class ByteBpe:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         known = first.tolist() + [int(NONE)]
+        get, none = self.pairs.get, int(NONE)
 
         def look(i: int, j: int) -> int:
-            return int(self.table(np.array([ids[i]]), np.array([ids[j]]))[0])
+            return get(ids[i] << 32 | ids[j], none)
 
         while heap:
             rank, i = heapq.heappop(heap)
