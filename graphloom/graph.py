@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.canonical import canonical_type, present, stripped
 from graphloom.operators.skew import row_fingerprint
+from graphloom.shared import Scratch, modified
 
 NODE_COLUMNS = ["id", "workspace", "label", "type", "package", "full_name", "size", "level", "position", "signature", "visibility", "documentation", "complexity", "metadata", "embedding_model", "semantic_summary", "created_at"]
 EDGE_COLUMNS = ["source", "target", "type", "weight", "workspace"]
@@ -37,8 +38,9 @@ class CodeGraph:
         types = {"size": "int", "level": "int", "complexity": "int", "created_at": "timestamp", "metadata": "map<string,string>", "position": "struct<filename:string,line:int,column:int,offset:int>"}
         rows = with_missing(nodes, NODE_COLUMNS, types).where(present(F.col("id"))).withColumn("type", canonical_type(F.col("type")))
         rest = [c for c in NODE_COLUMNS if c != "id"]
-        # min_by on one struct keeps the row whole; fields nobody reads are pruned before the exchange
-        once = rows.groupBy("id").agg(*[F.min_by(F.col(c), F.coalesce(F.col("created_at"), F.lit("9999-01-01").cast("timestamp"))).alias(c) for c in rest])
+        # one struct keeps the row whole; of rows equally early the least holds (a map can't be compared and comes last)
+        order = F.struct(F.coalesce(F.col("created_at"), F.lit("9999-01-01").cast("timestamp")), *[F.col(c) for c in rest if c != "metadata"], F.to_json("metadata"))
+        once = rows.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("row")).select("id", "row.*")
         once = once.select(*NODE_COLUMNS)
         if builtins is not None:
             b = builtins.select("id", "label", canonical_type(F.col("type")).alias("type"), "package")
@@ -55,6 +57,20 @@ class CodeGraph:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         return cls.from_tables(read("nodes"), read("edges"), read("builtin_nodes"))
 
+    @classmethod
+    def cleaned(cls, spark: SparkSession, sf_dir: str) -> CodeGraph:
+        """``load``, cleaned once a session and table version: the canonical tables are written to the shared folder, in
+        ranges of (type, id) and (type, source), so that a type filter prunes files and row groups, and queries start
+        from a scan instead of a fingerprint and a shuffle of all rows."""
+        state = tuple(modified(spark, f"{sf_dir}/{t}.parquet") for t in ("nodes", "edges", "builtin_nodes"))
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _cleaned or _cleaned[key][0] != state:
+            raw, cut = cls.load(spark, sf_dir), Scratch(spark, "graph", lasting=True).cut
+            nodes, _, _ = cut(raw.nodes.repartitionByRange("type", "id").sortWithinPartitions("type", "id"))
+            edges, _, _ = cut(raw.edges.repartitionByRange("type", "source").sortWithinPartitions("type", "source"))
+            _cleaned[key] = (state, cls(nodes, edges))
+        return _cleaned[key][1]
+
     def workspace(self, name: str | None) -> CodeGraph:
         """The graph of one workspace; built-in nodes, which have none, belong to all. None keeps everything."""
         if name is None:
@@ -94,6 +110,9 @@ class CodeGraph:
         return left.join(self._end("t", (), None), F.col("target") == F.col("t_id")).drop("source", "target")
 
 
+_cleaned: dict[tuple[str, str], tuple[tuple, CodeGraph]] = {}
+
+
 def named(name: str, prefix: str = "") -> Column:
     """id, full_name or label equals ``name``."""
     return (F.col(f"{prefix}id") == name) | (F.col(f"{prefix}full_name") == name) | (F.col(f"{prefix}label") == name)

@@ -45,7 +45,7 @@ SQL: dict[str, str] = {}
 
 
 def _add(name: str, build: Callable[[CodeGraph], DataFrame], sql: str | None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(CodeGraph.load(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(CodeGraph.cleaned(spark, sf_dir))
     if sql is not None:
         SQL[name] = BASE + sql
 
@@ -231,7 +231,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/existing_nodes.parquet")
-    found = search.hybrid_search(CodeGraph.load(spark, sf_dir), vectors, _query_vector(spark, sf_dir))
+    found = search.hybrid_search(CodeGraph.cleaned(spark, sf_dir), vectors, _query_vector(spark, sf_dir))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -381,7 +381,7 @@ def go_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mock_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = CodeGraph.load(spark, sf_dir).nodes
+    nodes = CodeGraph.cleaned(spark, sf_dir).nodes
     return embedded_nodes(nodes, mock_provider(64)).select("id", F.size("embedding").alias("dimensions"))
 
 

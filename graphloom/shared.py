@@ -7,14 +7,17 @@ back: the next round starts from files that outlive a lost executor, and the old
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_roots: list[tuple[SparkSession, str]] = []
+_scopes: list[list[Scratch]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -23,9 +26,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set(CHECKPOINT_CONF, root)
-        _roots.append((spark, root))
     return root.rstrip("/")
 
 
@@ -38,14 +42,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables of one operator run. ``cut`` writes and reads back, ``drop`` removes a table that is no longer read.
 
-    Tables still alive when the interpreter ends are removed then: results are lazy and may read them until the end.
+    Results are lazy and may read the tables, so these live until the ``scratch_scope`` around the run is left, or, without
+    one, until the interpreter ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
-        atexit.register(self.clear)
+        if _scopes and not lasting:
+            _scopes[-1].append(self)
+        else:
+            atexit.register(self.clear)
 
     def path(self) -> str:
         self._next += 1
@@ -72,5 +80,26 @@ class Scratch:
             pass
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes the tables of all operators run inside when it is left: for services, which consume each result at once."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.clear()
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When the newest file of a table was written, in milliseconds."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    newest = 0
+    while files.hasNext():
+        newest = max(newest, files.next().getModificationTime())
+    return newest
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]

@@ -16,9 +16,10 @@ from graphloom.shared import Scratch
 from graphloom.sources.go_parser import FIELDS, file_facts
 
 #: fixed values: the built-in types that every graph has as nodes
-BUILTIN_STRUCTS = "string int bool byte rune int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 float32 float64 complex64 complex128 uintptr".split()
+BUILTIN_STRUCTS = [
+    "bool", "string", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "byte", "rune", "float32", "float64", "complex64", "complex128",
+]
 BUILTIN_INTERFACES = ("error", "any")
-EMBED_ROUNDS = 5
 CHUNK = 500
 
 
@@ -193,16 +194,15 @@ class Extraction:
         iface = self.of("interface_method").select(F.col("owner").alias("iid"), "name", F.col("text").alias("sig")).distinct()
         t = self._type_ids()
         embeds = self.of("embed").join(t, F.col("target") == t["named"]).select("owner", "tid").distinct()
-        for _ in range(EMBED_ROUNDS):  # promotion through embedding
+        sizes, cut = None, Scratch(self.spark, "methods").cut
+        while True:  # promotion through embedding, until nothing new is promoted; sets of methods, so loops of embedding end too
             lifted = embeds.join(own.unionAll(iface.select(F.col("iid"), "name", "sig")), F.col("tid") == F.col("sid")).select("owner", "name", "sig")
             new_own = own.unionAll(lifted.where(F.col("owner").startswith("struct:"))).distinct()
             new_iface = iface.unionAll(embeds.join(iface, F.col("tid") == F.col("iid")).where(F.col("owner").startswith("interface:")).select("owner", "name", "sig")).distinct()
-            cut = Scratch(self.spark, "methods").cut
             new_own, a, _ = cut(new_own, n=F.count(F.lit(1)))
             new_iface, b, _ = cut(new_iface, n=F.count(F.lit(1)))
-            done = getattr(self, "_sizes", None) == (a["n"], b["n"])
-            self._sizes, own, iface = (a["n"], b["n"]), new_own, new_iface
-            if done:
+            own, iface, before, sizes = new_own, new_iface, sizes, (a["n"], b["n"])
+            if sizes == before:
                 break
         need = iface.groupBy(F.col("iid").alias("i")).agg(F.count(F.lit(1)).alias("need"))
         met = own.join(iface, ["name", "sig"]).groupBy("sid", "iid").agg(F.count(F.lit(1)).alias("has"))
