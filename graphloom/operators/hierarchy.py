@@ -24,6 +24,8 @@ from graphloom.shared import Scratch, row_count
 #: children of one node are chained in at least so many slots, more where a slot could hold more than SLOT_ROWS
 SLOTS, SLOT_ROWS = 256, 1 << 20
 BLOCK = 4096
+#: tables of finished elements that are kept apart while lists are ranked
+DONE_PARTS = 4
 
 
 class HashCollision(RuntimeError):
@@ -176,6 +178,11 @@ class Forest:
             self.scratch.drop(f"{path}/shut=false")
             running, path = table.where("NOT shut"), new
             done.append(table.where("shut"))
+            if len(done) > DONE_PARTS:  # many small tables cost more to list than one to write
+                merged = done[0]
+                for d in done[1:]:
+                    merged = merged.unionAll(d)
+                done = [self.scratch.cut(merged)[0]]
         every = done[0]
         for d in done[1:]:
             every = every.unionAll(d)

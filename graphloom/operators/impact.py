@@ -99,10 +99,11 @@ def interface_takers(g: CodeGraph, name: str | None = None) -> DataFrame:
     return h.select(F.col("s_id").alias("function"), F.col("s_signature").alias("signature"), F.col("t_label").alias("interface")).distinct()
 
 
-def test_callers(g: CodeGraph, prefix: str = "Check", package: str | None = None) -> DataFrame:
-    """Functions called by functions of a name prefix (``Test`` for tests), in any letter case of the first letter."""
+def test_callers(g: CodeGraph, prefix: str = "Test", package: str | None = None, name: str | None = None) -> DataFrame:
+    """Functions, of a package or a name if given, that functions of a name prefix call, in any letter case."""
     starts = F.lower("label").startswith(prefix.lower())
-    h = g.hop("calls", source_where=starts, target_where=None if package is None else F.col("package") == package)
+    wanted = F.lit(True) if package is None else F.col("package") == package
+    h = g.hop("calls", source_where=starts, target_where=wanted if name is None else wanted & named(name))
     return h.groupBy(F.col("t_id").alias("tested")).agg(F.countDistinct("s_id").alias("tests"))
 
 

@@ -15,7 +15,12 @@ def _count(name: str):
 
 
 def _set(c: str, name: str):
-    return F.array_join(F.sort_array(F.collect_set(c)), ",").alias(name)
+    return F.sort_array(F.collect_set(c)).alias(name)
+
+
+def _structs(out: str, **fields: str):
+    """A sorted set of structs of the columns given."""
+    return F.sort_array(F.collect_set(F.struct(*[F.col(c).alias(k) for k, c in fields.items()]))).alias(out)
 
 
 def beside(*rows: DataFrame) -> DataFrame:
@@ -52,12 +57,12 @@ def goroutine_spawners(g: CodeGraph) -> DataFrame:
 
 def type_constructors(g: CodeGraph) -> DataFrame:
     h = g.hop("constructs", source=FUNCTIONS, target=TYPES)
-    return h.groupBy(F.col("t_full_name").alias("constructedType"), F.col("t_package").alias("typePackage")).agg(_set("s_full_name", "constructors"), F.countDistinct("s_id").alias("constructorCount"))
+    return h.groupBy(F.col("t_full_name").alias("constructedType"), F.col("t_package").alias("typePackage")).agg(_structs("constructors", name="s_full_name", package="s_package"), F.countDistinct("s_id").alias("constructorCount"))
 
 
 def embedded_types(g: CodeGraph) -> DataFrame:
     h = g.hop("embeds", source=TYPES, target=TYPES)
-    return h.groupBy(F.col("s_full_name").alias("embedderType"), F.col("s_package").alias("embedderPackage")).agg(_set("t_full_name", "embeddedTypes"), F.countDistinct("t_id").alias("embeddingCount"))
+    return h.groupBy(F.col("s_full_name").alias("embedderType"), F.col("s_package").alias("embedderPackage")).agg(_structs("embeddedTypes", name="t_full_name", package="t_package"), F.countDistinct("t_id").alias("embeddingCount"))
 
 
 def layers(g: CodeGraph) -> DataFrame:
@@ -129,9 +134,14 @@ def dependency_kinds(g: CodeGraph) -> DataFrame:
 
 
 def callers(g: CodeGraph, limit: int = 20) -> DataFrame:
-    """Callers by label of the called, most first."""
-    per = g.hop("calls").groupBy(F.col("t_label").alias("function")).agg(F.countDistinct("s_id").alias("callerCount"), F.countDistinct("s_label").alias("callerLabels"))
-    return per.orderBy(F.desc("callerCount"), "function").limit(limit)
+    """Callers by label of the called, most first: how many there are, and their labels in order.
+
+    Only the ``limit`` rows kept have their labels gathered.
+    """
+    top = caller_labels(g).orderBy(F.desc("callerCount"), "function").limit(limit)
+    few = g.hop("calls").select(F.col("t_label").alias("f"), "s_label").distinct().join(F.broadcast(top.select("function")), F.col("f") == F.col("function"))
+    labels = few.groupBy("f").agg(_set("s_label", "callers"))
+    return top.join(labels, F.col("function") == F.col("f")).select("function", "callerCount", "callerLabels", "callers").orderBy(F.desc("callerCount"), "function")
 
 
 def caller_labels(g: CodeGraph) -> DataFrame:
@@ -139,7 +149,7 @@ def caller_labels(g: CodeGraph) -> DataFrame:
 
 
 def methods_per_type(g: CodeGraph, limit: int = 20) -> DataFrame:
-    per = g.hop("has_method").groupBy(F.col("s_label").alias("type"), F.col("s_type").alias("nodeType")).agg(F.array_join(F.sort_array(F.collect_list("t_label")), ",").alias("methods"), _count("methodCount"))
+    per = g.hop("has_method").groupBy(F.col("s_label").alias("type"), F.col("s_type").alias("nodeType")).agg(F.sort_array(F.collect_list("t_label")).alias("methods"), _count("methodCount"))
     return per.orderBy(F.desc("methodCount"), "type", "nodeType").limit(limit)
 
 
@@ -197,12 +207,12 @@ def uses_pairs(g: CodeGraph) -> DataFrame:
     return _pairs(g, "uses", "user", "used")
 
 
-def complex_functions(g: CodeGraph, above: int = 5, limit: int = 20) -> DataFrame:
+def complex_functions(g: CodeGraph, above: int = 5, limit: int | None = 20) -> DataFrame:
     f = g.of(*FUNCTIONS).where(F.col("complexity") > above)
     return f.select("id", "label", "package", "complexity").orderBy(F.desc("complexity"), "id").limit(limit)
 
 
-def complexity_above(g: CodeGraph, above: int = 3) -> DataFrame:
+def complexity_above(g: CodeGraph, above: int = 10) -> DataFrame:
     return g.of(*FUNCTIONS).where(F.col("complexity") > above).select("id", "label", "package", "complexity")
 
 
@@ -210,7 +220,7 @@ def methods_by_complexity(g: CodeGraph, limit: int = 50) -> DataFrame:
     return g.of("method").select("id", "label", "package", "complexity").orderBy(F.desc("complexity"), "id").limit(limit)
 
 
-def interfaces_named(g: CodeGraph, part: str = "Sink", limit: int = 20) -> DataFrame:
+def interfaces_named(g: CodeGraph, part: str, limit: int = 20) -> DataFrame:
     return g.of("interface").where(F.lower("label").contains(part.lower())).select("id", "label", "package").orderBy("id").limit(limit)
 
 
@@ -234,29 +244,29 @@ def _in_out(g: CodeGraph, rel: str, end: str, name: str) -> DataFrame:
     return g.rel(rel).groupBy(F.col(end).alias(f"k_{name}")).agg(_count(name))
 
 
-def god_objects(g: CodeGraph, fields: int = 4, both: int = 5) -> DataFrame:
+def god_objects(g: CodeGraph, fields: int = 10, both: int = 15) -> DataFrame:
     """Structs with many fields and members; edges run from the struct to its fields and methods."""
     f, m = _in_out(g, "has_field", "source", "fieldCount"), _in_out(g, "has_method", "source", "methodCount")
     s = g.of("struct").join(f.where(F.col("fieldCount") > fields), F.col("id") == F.col("k_fieldCount")).join(m, F.col("id") == F.col("k_methodCount"), "left")
     s = s.select("id", "label", "package", "fieldCount", F.coalesce("methodCount", F.lit(0)).alias("methodCount"))
-    return s.where(F.col("fieldCount") + F.col("methodCount") > both)
+    return s.withColumn("totalComplexity", F.col("fieldCount") + F.col("methodCount")).where(F.col("totalComplexity") > both)
 
 
-def god_objects_parity(g: CodeGraph, fields: int = 4) -> DataFrame:
+def god_objects_parity(g: CodeGraph, fields: int = 10) -> DataFrame:
     """With the arrow of has_method reversed, as stated by the reference: methodCount is 0 for structs."""
     f, m = _in_out(g, "has_field", "source", "fieldCount"), _in_out(g, "has_method", "target", "methodCount")
     s = g.of("struct").join(f.where(F.col("fieldCount") > fields), F.col("id") == F.col("k_fieldCount")).join(m, F.col("id") == F.col("k_methodCount"), "left")
     return s.select("id", "label", "package", "fieldCount", F.coalesce("methodCount", F.lit(0)).alias("methodCount"))
 
 
-def members_product(g: CodeGraph, fields: int = 3, methods: int = 3) -> DataFrame:
+def members_product(g: CodeGraph, fields: int = 10, methods: int = 15) -> DataFrame:
     """Two matches in sequence multiply: both counts are fields x methods."""
     f, m = _in_out(g, "has_field", "source", "f"), _in_out(g, "has_method", "source", "m")
     s = g.of("struct").join(f, F.col("id") == F.col("k_f")).join(m, F.col("id") == F.col("k_m")).withColumn("n", F.col("f") * F.col("m"))
     return s.where((F.col("n") > fields) | (F.col("n") > methods)).select("id", F.col("n").alias("fieldCount"), F.col("n").alias("methodCount"))
 
 
-def many_parameters(g: CodeGraph, above: int = 2) -> DataFrame:
+def many_parameters(g: CodeGraph, above: int = 5) -> DataFrame:
     p = _in_out(g, "has_parameter", "source", "paramCount").where(F.col("paramCount") > above)
     return g.of(*FUNCTIONS).join(p, F.col("id") == F.col("k_paramCount")).select("id", "label", "package", "paramCount", "signature")
 
@@ -266,20 +276,20 @@ def _calls_in(g: CodeGraph) -> DataFrame:
     return g.rel("calls").join(ids, F.col("source") == F.col("sid"), "left_semi").groupBy(F.col("target").alias("k")).agg(_count("callCount"))
 
 
-def hot_functions(g: CodeGraph, above: int = 5, limit: int = 20) -> DataFrame:
+def hot_functions(g: CodeGraph, above: int = 10, limit: int = 20) -> DataFrame:
     h = g.of(*FUNCTIONS).join(_calls_in(g).where(F.col("callCount") > above), F.col("id") == F.col("k"))
     h = h.select("id", "label", "package", "complexity", "callCount").orderBy(F.desc(F.col("complexity") * F.col("callCount")), "id")
     return h.limit(limit)
 
 
-def hotness_avg(g: CodeGraph, calls: int = 2, complexity: int = 1) -> DataFrame:
+def hotness_avg(g: CodeGraph, calls: int = 10, complexity: int = 5) -> DataFrame:
     h = g.hop("calls", target=FUNCTIONS).groupBy("t_id", "t_label", "t_package", "t_complexity").agg(_count("callCount"), F.round(F.avg("s_complexity"), 6).alias("avgCallerComplexity"))
     h = h.where((F.col("callCount") > calls) & (F.col("t_complexity") > complexity))
     return h.select(F.col("t_id").alias("id"), F.col("t_label").alias("label"), F.col("t_package").alias("package"), F.col("t_complexity").alias("complexity"), "callCount", "avgCallerComplexity", (F.col("t_complexity") * F.col("callCount")).alias("hotness"))
 
 
-def hotspots_exact(g: CodeGraph, above: int = 2) -> DataFrame:
-    """Complexity with independent counts of incoming and outgoing calls."""
+def hotspots_exact(g: CodeGraph, above: int = 10, connected: int = 10, limit: int | None = 15) -> DataFrame:
+    """Complexity with independent counts of incoming and outgoing calls, of functions above both thresholds."""
     ids = g.nodes.select(F.col("id").alias("oid"))
     calls = g.rel("calls")
     i = calls.join(ids, F.col("source") == F.col("oid"), "left_semi").groupBy(F.col("target").alias("ki")).agg(_count("inbound"))
@@ -287,15 +297,20 @@ def hotspots_exact(g: CodeGraph, above: int = 2) -> DataFrame:
     f = g.of(*FUNCTIONS).where(F.col("complexity") > above).join(i, F.col("id") == F.col("ki"), "left").join(o, F.col("id") == F.col("ko"), "left")
     f = f.withColumns({"inbound": F.coalesce("inbound", F.lit(0)), "outbound": F.coalesce("outbound", F.lit(0))})
     total = F.col("inbound") + F.col("outbound")
-    return f.select("id", "label", "package", "complexity", "inbound", "outbound", total.alias("total"), (F.col("complexity") * total).alias("risk"))
+    return _riskiest(f.select("id", "label", "package", "complexity", "inbound", "outbound", total.alias("total"), (F.col("complexity") * total).alias("risk")), connected, limit)
 
 
-def hotspots_product(g: CodeGraph, above: int = 2) -> DataFrame:
+def _riskiest(spots: DataFrame, connected: int, limit: int | None) -> DataFrame:
+    spots = spots.where(F.col("total") > connected)
+    return spots if limit is None else spots.orderBy(F.desc("risk"), "id").limit(limit)
+
+
+def hotspots_product(g: CodeGraph, above: int = 10, connected: int = 10, limit: int | None = 15) -> DataFrame:
     """As two optional matches in sequence count: rows multiply, so both counts are in x out where neither is 0."""
-    e = hotspots_exact(g, above)
+    e = hotspots_exact(g, above, -1, None)
     both = F.greatest("inbound", F.lit(1)) * F.greatest("outbound", F.lit(1))
     i, o = F.when(F.col("inbound") == 0, 0).otherwise(both), F.when(F.col("outbound") == 0, 0).otherwise(both)
-    return e.select("id", "label", "package", "complexity", i.alias("inbound"), o.alias("outbound"), (i + o).alias("total"), (F.col("complexity") * (i + o)).alias("risk"))
+    return _riskiest(e.select("id", "label", "package", "complexity", i.alias("inbound"), o.alias("outbound"), (i + o).alias("total"), (F.col("complexity") * (i + o)).alias("risk")), connected, limit)
 
 
 def interface_counts(g: CodeGraph) -> DataFrame:
@@ -306,15 +321,16 @@ def interface_counts(g: CodeGraph) -> DataFrame:
 
 def interface_usage(g: CodeGraph) -> DataFrame:
     """Distinct implementers, returners and takers of every interface; counted apart, so nothing multiplies."""
-    out = g.of("interface").select("id", "label", "package")
-    for rel, name in (("implements", "implementers"), ("returns", "returners"), ("parameter_type", "takers")):
-        ids = g.nodes.select(F.col("id").alias("sid"))
-        per = g.rel(rel).join(ids, F.col("source") == F.col("sid"), "left_semi").groupBy(F.col("target").alias(f"k_{name}")).agg(F.countDistinct("source").alias(name))
-        out = out.join(per, F.col("id") == F.col(f"k_{name}"), "left").drop(f"k_{name}").withColumn(name, F.coalesce(name, F.lit(0)))
+    names = {"implements": "implementers", "returns": "returners", "parameter_type": "takers"}
+    ids = g.nodes.select(F.col("id").alias("sid"))
+    # one scan and one exchange for the three types: distinct ends first, then a count by condition
+    ends = g.rel(*names).select("target", "type", "source").join(ids, F.col("source") == F.col("sid"), "left_semi").distinct()
+    per = ends.groupBy(F.col("target").alias("k")).agg(*[F.sum((F.col("type") == rel).cast("long")).alias(name) for rel, name in names.items()])
+    out = g.of("interface").select("id", "label", "package").join(per, F.col("id") == F.col("k"), "left").drop("k").fillna(0, list(names.values()))
     return out.withColumn("total", F.col("implementers") + F.col("returners") + F.col("takers"))
 
 
-def import_strength(g: CodeGraph, above: int = 1) -> DataFrame:
+def import_strength(g: CodeGraph, above: int = 5) -> DataFrame:
     per = g.rel("imports").groupBy("source", "target").agg(_count("strength")).where(F.col("strength") > above)
     ids = g.nodes.select("id", "label")
     per = per.join(ids.select(F.col("id").alias("a"), F.col("label").alias("package")), F.col("source") == F.col("a"))

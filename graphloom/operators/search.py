@@ -40,7 +40,7 @@ def vector_topk(rows: DataFrame, id_: str, vector: str, query: list[float], k: i
 
 
 def hybrid_search(g: CodeGraph, vectors: DataFrame, query: list[float], k: int = 10, limit: int = 20) -> DataFrame:
-    """The k nearest nodes with all their neighbours: id, score, related (distinct, as text) and connectivity (edges).
+    """The k nearest nodes with all their neighbours: id, score, related (a set of structs) and connectivity (edges).
 
     The k best are taken before any join; nodes without neighbours stay with connectivity 0.
     """
@@ -49,8 +49,8 @@ def hybrid_search(g: CodeGraph, vectors: DataFrame, query: list[float], k: int =
     e = g.undirected().select(F.col("source").alias("id"), F.col("target").alias("other"), F.col("type").alias("rel"))
     around = near.join(F.broadcast(near.select(F.col("id").alias("nid"))), F.col("id") == F.col("nid")).select("id")  # at most k rows
     met = e.join(around, "id", "left_semi").join(g.nodes.select(F.col("id").alias("other"), F.col("label").alias("o_label"), F.col("type").alias("o_type")), "other")
-    per = met.groupBy("id").agg(F.sort_array(F.collect_set(F.concat_ws("|", "other", "o_label", "o_type", "rel"))).alias("r"), F.count(F.lit(1)).alias("connectivity"))
-    out = near.join(per, "id", "left").select("id", "label", "type", "package", "score", F.coalesce(F.array_join("r", ","), F.lit("")).alias("related"), F.coalesce("connectivity", F.lit(0)).alias("connectivity"))
+    per = met.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(F.col("other").alias("id"), F.col("o_label").alias("label"), F.col("o_type").alias("type"), F.col("rel").alias("relationship")))).alias("r"), F.count(F.lit(1)).alias("connectivity"))
+    out = near.join(per, "id", "left").select("id", "label", "type", "package", "score", F.coalesce("r", F.array()).alias("related"), F.coalesce("connectivity", F.lit(0)).alias("connectivity"))
     return out.orderBy(F.desc("score"), F.desc("connectivity"), "id").limit(limit)
 
 

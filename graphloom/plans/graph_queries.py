@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.canonical import canonical_hex, canonical_type, stripped
@@ -50,6 +50,24 @@ def _add(name: str, build: Callable[[CodeGraph], DataFrame], sql: str | None) ->
         SQL[name] = BASE + sql
 
 
+def _flat(names: list[str]) -> Callable[[Column], Column]:
+    return lambda x: F.concat_ws(" ", *[x[k] for k in names])
+
+
+def _joined(build: Callable[[CodeGraph], DataFrame], *columns: str) -> Callable[[CodeGraph], DataFrame]:
+    """Lists as text, for a comparison by value: structs with blanks between their fields, items with commas."""
+
+    def run(g: CodeGraph) -> DataFrame:
+        df = build(g)
+        for c in columns:
+            kind = df.schema[c].dataType.elementType
+            items = F.transform(c, _flat(kind.names)) if kind.typeName() == "struct" else F.col(c)
+            df = df.withColumn(c, F.array_join(F.sort_array(items), ","))
+        return df
+
+    return run
+
+
 def _set(c: str) -> str:
     return f"array_to_string(list_sort(list(DISTINCT {c})), ',')"
 
@@ -59,11 +77,11 @@ def _pairs(rel: str, a: str, b: str, more: str = "") -> str:
 
 
 _add("usage", patterns.usage, "SELECT t_id AS id, any_value(t_label) AS \"targetName\", any_value(t_package) AS package, any_value(t_type) AS \"nodeType\", count(*) AS \"usageCount\" FROM h WHERE type = 'calls' GROUP BY t_id HAVING count(*) > 1")
-_add("duplicate_functions", patterns.duplicate_functions, f"SELECT label AS \"functionName\", {_set('package')} AS packages, count(DISTINCT package) AS \"duplicateCount\" FROM n WHERE type = 'function' GROUP BY label HAVING count(DISTINCT package) > 1")
-_add("error_handlers", patterns.error_handlers, f"SELECT s_full_name AS \"errorHandler\", s_package AS package, {_set('t_label')} AS \"handledErrors\", count(DISTINCT t_id) AS \"errorTypeCount\" FROM h WHERE type = 'handles_error' AND s_type IN {FUNC} GROUP BY 1, 2")
-_add("goroutine_spawners", patterns.goroutine_spawners, f"SELECT s_full_name AS spawner, s_package AS package, s_complexity AS \"spawnerComplexity\", {_set('t_label')} AS \"goroutineFunctions\", count(DISTINCT t_id) AS \"goroutineCount\" FROM h WHERE type = 'spawns_goroutine' AND s_type IN {FUNC} GROUP BY 1, 2, 3")
-_add("type_constructors", patterns.type_constructors, f"SELECT t_full_name AS \"constructedType\", t_package AS \"typePackage\", {_set('s_full_name')} AS constructors, count(DISTINCT s_id) AS \"constructorCount\" FROM h WHERE type = 'constructs' AND s_type IN {FUNC} AND t_type IN {TYPES} GROUP BY 1, 2")
-_add("embedded_types", patterns.embedded_types, f"SELECT s_full_name AS \"embedderType\", s_package AS \"embedderPackage\", {_set('t_full_name')} AS \"embeddedTypes\", count(DISTINCT t_id) AS \"embeddingCount\" FROM h WHERE type = 'embeds' AND s_type IN {TYPES} AND t_type IN {TYPES} GROUP BY 1, 2")
+_add("duplicate_functions", _joined(patterns.duplicate_functions, "packages"), f"SELECT label AS \"functionName\", {_set('package')} AS packages, count(DISTINCT package) AS \"duplicateCount\" FROM n WHERE type = 'function' GROUP BY label HAVING count(DISTINCT package) > 1")
+_add("error_handlers", _joined(patterns.error_handlers, "handledErrors"), f"SELECT s_full_name AS \"errorHandler\", s_package AS package, {_set('t_label')} AS \"handledErrors\", count(DISTINCT t_id) AS \"errorTypeCount\" FROM h WHERE type = 'handles_error' AND s_type IN {FUNC} GROUP BY 1, 2")
+_add("goroutine_spawners", _joined(patterns.goroutine_spawners, "goroutineFunctions"), f"SELECT s_full_name AS spawner, s_package AS package, s_complexity AS \"spawnerComplexity\", {_set('t_label')} AS \"goroutineFunctions\", count(DISTINCT t_id) AS \"goroutineCount\" FROM h WHERE type = 'spawns_goroutine' AND s_type IN {FUNC} GROUP BY 1, 2, 3")
+_add("type_constructors", _joined(patterns.type_constructors, "constructors"), f"SELECT t_full_name AS \"constructedType\", t_package AS \"typePackage\", {_set("concat_ws(' ', s_full_name, s_package)")} AS constructors, count(DISTINCT s_id) AS \"constructorCount\" FROM h WHERE type = 'constructs' AND s_type IN {FUNC} AND t_type IN {TYPES} GROUP BY 1, 2")
+_add("embedded_types", _joined(patterns.embedded_types, "embeddedTypes"), f"SELECT s_full_name AS \"embedderType\", s_package AS \"embedderPackage\", {_set("concat_ws(' ', t_full_name, t_package)")} AS \"embeddedTypes\", count(DISTINCT t_id) AS \"embeddingCount\" FROM h WHERE type = 'embeds' AND s_type IN {TYPES} AND t_type IN {TYPES} GROUP BY 1, 2")
 _add("layers", patterns.layers, "SELECT package AS layer, count(*) AS \"nodeCount\" FROM n WHERE type IN ('struct', 'interface', 'function') GROUP BY 1")
 _add("factory_pattern", patterns.factory_pattern, "SELECT 'Factory Pattern' AS pattern, count(*) AS instances FROM h WHERE type = 'constructs' AND s_type = 'function' AND t_type = 'struct' HAVING count(*) > 0")
 _add("type_distribution", patterns.type_distribution, "SELECT type AS \"nodeType\", count(*) AS \"count\" FROM n GROUP BY 1")
@@ -89,9 +107,9 @@ EXTERNAL = "CASE WHEN d = 'main' THEN false WHEN NOT contains(d, '/') AND NOT co
 _add("dependencies", patterns.dependencies, f"SELECT DISTINCT d AS dependency FROM (SELECT regexp_replace(target, '^package:', '') AS d FROM ea WHERE type = 'imports') WHERE {EXTERNAL}")
 _add("dependency_kinds", patterns.dependency_kinds, f"SELECT d AS dependency, count(*) AS imports, {EXTERNAL} AS \"external\" FROM (SELECT regexp_replace(target, '^package:', '') AS d FROM ea WHERE type = 'imports') GROUP BY d")
 CALLERS = "SELECT t_label AS \"function\", count(DISTINCT s_id) AS \"callerCount\", count(DISTINCT s_label) AS \"callerLabels\" FROM h WHERE type = 'calls' GROUP BY 1"
-_add("callers", patterns.callers, CALLERS + " ORDER BY 2 DESC, 1 LIMIT 20")
+_add("callers", _joined(patterns.callers, "callers"), CALLERS.replace(" FROM h", f", {_set('s_label')} AS callers FROM h") + " ORDER BY 2 DESC, 1 LIMIT 20")
 _add("caller_labels", patterns.caller_labels, CALLERS)
-_add("methods_per_type", patterns.methods_per_type, "SELECT s_label AS type, s_type AS \"nodeType\", array_to_string(list_sort(list(t_label)), ',') AS methods, count(*) AS \"methodCount\" FROM h WHERE h.type = 'has_method' GROUP BY s_label, s_type ORDER BY count(*) DESC, s_label, s_type LIMIT 20")
+_add("methods_per_type", _joined(patterns.methods_per_type, "methods"), "SELECT s_label AS type, s_type AS \"nodeType\", array_to_string(list_sort(list(t_label)), ',') AS methods, count(*) AS \"methodCount\" FROM h WHERE h.type = 'has_method' GROUP BY s_label, s_type ORDER BY count(*) DESC, s_label, s_type LIMIT 20")
 _add("most_connected", patterns.most_connected, "SELECT n.label AS node, n.type, n.package, c.connections, n.id FROM n JOIN (SELECT source, count(DISTINCT target) AS connections FROM u WHERE target IN (SELECT id FROM n) GROUP BY 1) c ON c.source = n.id ORDER BY connections DESC, id LIMIT 20")
 for _name, _build, _sql in (
     ("call_pairs", patterns.call_pairs, _pairs("calls", "caller", "callee")),
@@ -107,24 +125,24 @@ for _name, _build, _sql in (
 ):
     _add(_name, _build, _sql)
 _add("complex_functions", patterns.complex_functions, f"SELECT id, label, package, complexity FROM n WHERE type IN {FUNC} AND complexity > 5 ORDER BY complexity DESC, id LIMIT 20")
-_add("complexity_above", patterns.complexity_above, f"SELECT id, label, package, complexity FROM n WHERE type IN {FUNC} AND complexity > 3")
+_add("complexity_above", lambda g: patterns.complexity_above(g, 3), f"SELECT id, label, package, complexity FROM n WHERE type IN {FUNC} AND complexity > 3")
 _add("methods_by_complexity", patterns.methods_by_complexity, "SELECT id, label, package, complexity FROM n WHERE type = 'method' ORDER BY complexity DESC NULLS LAST, id LIMIT 50")
-_add("interfaces_named", patterns.interfaces_named, "SELECT id, label, package FROM n WHERE type = 'interface' AND contains(lower(label), 'sink') ORDER BY id LIMIT 20")
+_add("interfaces_named", lambda g: patterns.interfaces_named(g, "Sink"), "SELECT id, label, package FROM n WHERE type = 'interface' AND contains(lower(label), 'sink') ORDER BY id LIMIT 20")
 _add("all_interfaces", patterns.all_interfaces, "SELECT id, label, package FROM n WHERE type = 'interface'")
 _add("all_packages", patterns.all_packages, "SELECT id, label, package FROM n WHERE type = 'package'")
 _add("error_labels", patterns.error_labels, "SELECT id, label, type, package FROM n WHERE contains(label, 'error') OR contains(label, 'Error') ORDER BY id LIMIT 50")
 FIELDS = "f AS (SELECT source, count(*) AS c FROM ea WHERE type = 'has_field' GROUP BY 1)"
-_add("god_objects", patterns.god_objects, f", {FIELDS}, m AS (SELECT source, count(*) AS c FROM ea WHERE type = 'has_method' GROUP BY 1) SELECT id, label, package, f.c AS \"fieldCount\", coalesce(m.c, 0) AS \"methodCount\" FROM n JOIN f ON f.source = id LEFT JOIN m ON m.source = id WHERE type = 'struct' AND f.c > 4 AND f.c + coalesce(m.c, 0) > 5")
-_add("god_objects_parity", patterns.god_objects_parity, f", {FIELDS}, m AS (SELECT target, count(*) AS c FROM ea WHERE type = 'has_method' GROUP BY 1) SELECT id, label, package, f.c AS \"fieldCount\", coalesce(m.c, 0) AS \"methodCount\" FROM n JOIN f ON f.source = id LEFT JOIN m ON m.target = id WHERE type = 'struct' AND f.c > 4")
-_add("members_product", patterns.members_product, "SELECT n.id, count(*) AS \"fieldCount\", count(*) AS \"methodCount\" FROM n JOIN ea f ON f.source = n.id AND f.type = 'has_field' JOIN ea m ON m.source = n.id AND m.type = 'has_method' WHERE n.type = 'struct' GROUP BY 1 HAVING count(*) > 3")
-_add("many_parameters", patterns.many_parameters, f"SELECT n.id, any_value(n.label) AS label, any_value(n.package) AS package, count(*) AS \"paramCount\", any_value(n.signature) AS signature FROM n JOIN ea p ON p.source = n.id AND p.type = 'has_parameter' WHERE n.type IN {FUNC} GROUP BY n.id HAVING count(*) > 2")
-_add("hot_functions", patterns.hot_functions, f"SELECT t_id AS id, any_value(t_label) AS label, any_value(t_package) AS package, any_value(t_complexity) AS complexity, count(*) AS \"callCount\" FROM h WHERE type = 'calls' AND t_type IN {FUNC} GROUP BY t_id HAVING count(*) > 5 ORDER BY any_value(t_complexity) * count(*) DESC, t_id LIMIT 20")
-_add("hotness_avg", patterns.hotness_avg, f"SELECT t_id AS id, t_label AS label, t_package AS package, t_complexity AS complexity, count(*) AS \"callCount\", round(avg(s_complexity), 6) AS \"avgCallerComplexity\", t_complexity * count(*) AS hotness FROM h WHERE type = 'calls' AND t_type IN {FUNC} GROUP BY 1, 2, 3, 4 HAVING count(*) > 2 AND t_complexity > 1")
+_add("god_objects", lambda g: patterns.god_objects(g, 2, 3), f", {FIELDS}, m AS (SELECT source, count(*) AS c FROM ea WHERE type = 'has_method' GROUP BY 1) SELECT id, label, package, f.c AS \"fieldCount\", coalesce(m.c, 0) AS \"methodCount\", f.c + coalesce(m.c, 0) AS \"totalComplexity\" FROM n JOIN f ON f.source = id LEFT JOIN m ON m.source = id WHERE type = 'struct' AND f.c > 2 AND f.c + coalesce(m.c, 0) > 3")
+_add("god_objects_parity", lambda g: patterns.god_objects_parity(g, 2), f", {FIELDS}, m AS (SELECT target, count(*) AS c FROM ea WHERE type = 'has_method' GROUP BY 1) SELECT id, label, package, f.c AS \"fieldCount\", coalesce(m.c, 0) AS \"methodCount\" FROM n JOIN f ON f.source = id LEFT JOIN m ON m.target = id WHERE type = 'struct' AND f.c > 2")
+_add("members_product", lambda g: patterns.members_product(g, 3, 3), "SELECT n.id, count(*) AS \"fieldCount\", count(*) AS \"methodCount\" FROM n JOIN ea f ON f.source = n.id AND f.type = 'has_field' JOIN ea m ON m.source = n.id AND m.type = 'has_method' WHERE n.type = 'struct' GROUP BY 1 HAVING count(*) > 3")
+_add("many_parameters", lambda g: patterns.many_parameters(g, 2), f"SELECT n.id, any_value(n.label) AS label, any_value(n.package) AS package, count(*) AS \"paramCount\", any_value(n.signature) AS signature FROM n JOIN ea p ON p.source = n.id AND p.type = 'has_parameter' WHERE n.type IN {FUNC} GROUP BY n.id HAVING count(*) > 2")
+_add("hot_functions", lambda g: patterns.hot_functions(g, 5), f"SELECT t_id AS id, any_value(t_label) AS label, any_value(t_package) AS package, any_value(t_complexity) AS complexity, count(*) AS \"callCount\" FROM h WHERE type = 'calls' AND t_type IN {FUNC} GROUP BY t_id HAVING count(*) > 5 ORDER BY any_value(t_complexity) * count(*) DESC, t_id LIMIT 20")
+_add("hotness_avg", lambda g: patterns.hotness_avg(g, 2, 1), f"SELECT t_id AS id, t_label AS label, t_package AS package, t_complexity AS complexity, count(*) AS \"callCount\", round(avg(s_complexity), 6) AS \"avgCallerComplexity\", t_complexity * count(*) AS hotness FROM h WHERE type = 'calls' AND t_type IN {FUNC} GROUP BY 1, 2, 3, 4 HAVING count(*) > 2 AND t_complexity > 1")
 INOUT = f", i AS (SELECT t_id, count(*) AS c FROM h WHERE type = 'calls' GROUP BY 1), o AS (SELECT s_id, count(*) AS c FROM h WHERE type = 'calls' GROUP BY 1), x AS (SELECT id, label, package, complexity, coalesce(i.c, 0) AS a, coalesce(o.c, 0) AS b FROM n LEFT JOIN i ON t_id = id LEFT JOIN o ON s_id = id WHERE type IN {FUNC} AND complexity > 2)"
-_add("hotspots_exact", patterns.hotspots_exact, INOUT + " SELECT id, label, package, complexity, a AS inbound, b AS outbound, a + b AS total, complexity * (a + b) AS risk FROM x")
+_add("hotspots_exact", lambda g: patterns.hotspots_exact(g, 2, -1, None), INOUT + " SELECT id, label, package, complexity, a AS inbound, b AS outbound, a + b AS total, complexity * (a + b) AS risk FROM x")
 _add(
     "hotspots_product",
-    patterns.hotspots_product,
+    lambda g: patterns.hotspots_product(g, 2, -1, None),
     f", p AS (SELECT n.id, n.label, n.package, n.complexity, count(i.source) AS a, count(o.source) AS b FROM n LEFT JOIN e i ON i.target = n.id AND i.type = 'calls' LEFT JOIN e o ON o.source = n.id AND o.type = 'calls' WHERE n.type IN {FUNC} AND n.complexity > 2 GROUP BY 1, 2, 3, 4) SELECT id, label, package, complexity, a AS inbound, b AS outbound, a + b AS total, complexity * (a + b) AS risk FROM p",
 )
 _add("interface_counts", patterns.interface_counts, "SELECT n.id, n.label, n.package, count(e.source) AS implementations FROM n LEFT JOIN e ON e.target = n.id AND e.type = 'implements' WHERE n.type = 'interface' GROUP BY 1, 2, 3")
@@ -134,9 +152,9 @@ _add(
     "SELECT n.id, n.label, n.package, count(DISTINCT CASE WHEN e.type = 'implements' THEN source END) AS implementers, count(DISTINCT CASE WHEN e.type = 'returns' THEN source END) AS returners, count(DISTINCT CASE WHEN e.type = 'parameter_type' THEN source END) AS takers, "
     "count(DISTINCT CASE WHEN e.type = 'implements' THEN source END) + count(DISTINCT CASE WHEN e.type = 'returns' THEN source END) + count(DISTINCT CASE WHEN e.type = 'parameter_type' THEN source END) AS total FROM n LEFT JOIN e ON e.target = n.id WHERE n.type = 'interface' GROUP BY 1, 2, 3",
 )
-_add("import_strength", patterns.import_strength, "SELECT s_id AS source, t_id AS target, any_value(s_label) AS package, any_value(t_label) AS imported, count(*) AS strength FROM h WHERE type = 'imports' GROUP BY 1, 2 HAVING count(*) > 1")
+_add("import_strength", lambda g: patterns.import_strength(g, 1), "SELECT s_id AS source, t_id AS target, any_value(s_label) AS package, any_value(t_label) AS imported, count(*) AS strength FROM h WHERE type = 'imports' GROUP BY 1, 2 HAVING count(*) > 1")
 _add("risk_score", patterns.risk_score, "SELECT t_id AS id, any_value(t_label) AS label, any_value(t_complexity) AS complexity, count(*) AS callers, any_value(t_complexity) * count(*) AS risk FROM h WHERE type = 'calls' AND t_type = 'function' GROUP BY t_id ORDER BY 5 DESC NULLS LAST, 1 LIMIT 10")
-_add("shared_interfaces", patterns.shared_interfaces, f"SELECT t_id AS id, any_value(t_label) AS interface, count(*) AS implementers, {_set('s_label')} AS structs FROM h WHERE type = 'implements' AND t_type = 'interface' GROUP BY t_id HAVING count(*) > 1")
+_add("shared_interfaces", _joined(patterns.shared_interfaces, "structs"), f"SELECT t_id AS id, any_value(t_label) AS interface, count(*) AS implementers, {_set('s_label')} AS structs FROM h WHERE type = 'implements' AND t_type = 'interface' GROUP BY t_id HAVING count(*) > 1")
 _add("package_dependencies", patterns.package_dependencies, "SELECT s_id AS id, any_value(s_label) AS package, count(*) AS dependencies FROM h WHERE type = 'imports' AND s_type = 'package' GROUP BY s_id ORDER BY 3 DESC, 1 LIMIT 15")
 _add(
     "coupling",
@@ -180,7 +198,7 @@ _add("forward_imports", lambda g: impact.forward_imports(g, "store"), "SELECT DI
 _add("reverse_imports", lambda g: impact.reverse_imports(g, PACKAGE), f"SELECT DISTINCT s_package AS importer, t_package AS package FROM h WHERE type = 'imports' AND contains(t_package, '{PACKAGE}') AND s_package <> t_package")
 _add("interface_returners", impact.interface_returners, "SELECT DISTINCT s_id AS \"function\", s_signature AS signature, t_label AS interface FROM h WHERE type = 'returns' AND t_type = 'interface'")
 _add("interface_takers", impact.interface_takers, "SELECT DISTINCT s_id AS \"function\", s_signature AS signature, t_label AS interface FROM h WHERE type = 'parameter_type' AND t_type = 'interface'")
-_add("test_callers", impact.test_callers, "SELECT t_id AS tested, count(DISTINCT s_id) AS tests FROM h WHERE type = 'calls' AND starts_with(lower(s_label), 'check') GROUP BY 1")
+_add("test_callers", lambda g: impact.test_callers(g, "Check"), "SELECT t_id AS tested, count(DISTINCT s_id) AS tests FROM h WHERE type = 'calls' AND starts_with(lower(s_label), 'check') GROUP BY 1")
 _add("public_functions", impact.public_functions, f"SELECT id, label, package, complexity, signature FROM n WHERE type IN {FUNC} AND visibility = 'public'")
 _add("dependency_suffix", impact.dependency_suffix, "SELECT DISTINCT s_package AS importer FROM h WHERE type = 'imports' AND ends_with(t_package, '/common')")
 
@@ -232,7 +250,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/existing_nodes.parquet")
     found = search.hybrid_search(CodeGraph.cleaned(spark, sf_dir), vectors, _query_vector(spark, sf_dir))
-    return found.withColumn("score", F.round("score", 6))
+    related = F.array_sort(F.transform("related", lambda x: F.concat_ws("|", x["id"], x["label"], x["type"], x["relationship"])))
+    return found.withColumns({"score": F.round("score", 6), "related": F.array_join(related, ",")})
 
 
 QUERIES["vector_topk"], QUERIES["hybrid_search"] = vector_topk, hybrid_search

@@ -34,11 +34,11 @@ def test_patterns(g):
     assert col(patterns.usage(g), "id", "usageCount") == [("f2", 2), ("f4", 2)]
     assert col(patterns.dead_functions(g), "id") == [("f5",)]
     assert col(patterns.most_connected(g), "id", "connections")[:4] == [("I", 1), ("S", 2), ("f1", 3), ("f2", 3)]
-    assert col(patterns.error_handlers(g), "handledErrors", "errorTypeCount") == [("Fn2", 1)]
+    assert col(patterns.error_handlers(g), "handledErrors", "errorTypeCount") == [(["Fn2"], 1)]
     assert col(patterns.orphan_nodes(g), "id") == [("f5",)]
-    exact = {r["id"]: r for r in patterns.hotspots_exact(g, 0).collect()}
+    exact = {r["id"]: r for r in patterns.hotspots_exact(g, 0, -1, None).collect()}
     assert (exact["f3"]["inbound"], exact["f3"]["outbound"], exact["f3"]["risk"]) == (1, 2, 9)
-    product = {r["id"]: r for r in patterns.hotspots_product(g, 0).collect()}
+    product = {r["id"]: r for r in patterns.hotspots_product(g, 0, -1, None).collect()}
     assert (product["f1"]["inbound"], product["f1"]["outbound"]) == (2, 2) and (product["f5"]["inbound"], product["f5"]["outbound"]) == (0, 0)
     assert patterns.factory_pattern(g.workspace("none")).count() == 0 and patterns.factory_pattern(g).first()["instances"] == 1
     assert patterns.parameter_type_pairs(g).count() == 0
@@ -46,6 +46,26 @@ def test_patterns(g):
         find_patterns(g, "unheard of")
 
 
+def test_lists_and_structs(g):
+    """Sets come as arrays, pairs in them as structs; defaults are the thresholds of the documented questions."""
+    made = patterns.type_constructors(g).first()
+    assert [c.asDict() for c in made["constructors"]] == [{"name": c["name"], "package": c["package"]} for c in made["constructors"]]
+    top = patterns.callers(g).first()
+    assert top["callers"] == sorted(top["callers"]) and len(top["callers"]) == top["callerLabels"]
+    assert patterns.hotspots_exact(g).count() == patterns.god_objects(g).count() == patterns.hot_functions(g).count() == 0
+
+
+def test_prompt_steps_run(g):
+    for p in PROMPTS.values():
+        values = {a: "Fn2" for a in p.required} | {"change_type": "modify", "pattern": "orphan"}
+        for why, df in p.run(g, **values):
+            assert why and df.columns
+    quality = PROMPTS["assess_code_quality"]
+    assert [s.why for s in quality.chosen({"focus_area": "duplicates"})] == ["duplicates", "what matters here"] and len(quality.chosen({})) == 5
+    inside = dict(PROMPTS["find_code_patterns"].run(g, workspace="w", pattern="orphan", package_filter="q"))["the pattern"]
+    assert inside.columns and "include_external=yes" in PROMPTS["analyze_dependencies"].render(workspace="w", source_package="p", include_external="yes")
+
+
 def test_paths(g):
     got = paths.trace_call_path(g, "Fn1", "Fn4").collect()
     assert [(r["path"], r["length"]) for r in got] == [(["p.Fn1", "p.Fn2", "p.Fn3", "q.Fn4"], 3)]
