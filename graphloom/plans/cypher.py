@@ -4,7 +4,7 @@ The text is parsed into clauses; every clause turns one table of bindings into t
 column of the node's properties, a relationship variable one of source, target, type, weight and eid, a path one of
 nodes and rels. Expressions become Spark SQL over those columns, so Catalyst sees through the whole query.
 
-Supported: MATCH and OPTIONAL MATCH with directed and undirected patterns, property maps, variable length and
+Supported: EXPLAIN; CALL of the vector and full-text index; MATCH and OPTIONAL MATCH with directed and undirected patterns, property maps, variable length and
 shortestPath; WHERE with pattern negation; WITH, RETURN, DISTINCT, grouping, ORDER BY, SKIP, LIMIT, UNWIND; CASE, lists
 and comprehensions, all / any / none, maps, parameters. Relationships of one MATCH are different edges, as in trails.
 """
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import NODE_COLUMNS, CodeGraph
+from graphloom.operators import search
 from graphloom.shared import Scratch
 
 TOKEN = re.compile(r"\s+|//[^\n]*|(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+\.\d+|\d+)|(?P<par>\$\w+)|(?P<id>`[^`]+`|[A-Za-z_]\w*)|(?P<op><>|<=|>=|=~|\.\.|->|<-|[-+*/%^=<>(){}\[\],.:|])")
-MAX_HOPS = 15
 FUNCTIONS = {
     "tolower": "lower({0})", "toupper": "upper({0})", "trim": "trim({0})", "tostring": "cast({0} as string)", "tointeger": "cast({0} as bigint)", "tofloat": "cast({0} as double)", "coalesce": "coalesce({*})",
     "abs": "abs({0})", "round": "round({0})", "ceil": "ceil({0})", "floor": "floor({0})", "sqrt": "sqrt({0})", "timestamp": "unix_millis(current_timestamp())", "type": "{0}.type", "id": "{0}.id", "labels": "array('CodeNode')",
@@ -51,7 +51,7 @@ class Rel:
     props: list[tuple[str, str]]
     way: int  # 1 out, -1 in, 0 either
     least: int = 1
-    most: int = 1
+    most: int | None = 1  # None: no bound
     many: bool = False
 
 
@@ -148,17 +148,16 @@ class Parser:
                 while self.accept("|"):
                     self.accept(":")
                     r.types.append(self.name())
+            r.props = self.props()  # a property map stands before or after the hops
             if self.accept("*"):
-                r.many, r.least, r.most = True, 1, MAX_HOPS
+                r.many, r.least, r.most = True, 1, None
                 if self.kind() == "num":
                     r.least = r.most = int(self.take())
                     if self.accept(".."):
-                        r.most = int(self.take()) if self.kind() == "num" else MAX_HOPS
+                        r.most = int(self.take()) if self.kind() == "num" else None
                 elif self.accept(".."):
-                    r.most = int(self.take()) if self.kind() == "num" else MAX_HOPS
-                if r.most > MAX_HOPS:
-                    raise CypherError(f"at most {MAX_HOPS} hops")
-            r.props = self.props()
+                    r.most = int(self.take()) if self.kind() == "num" else None
+            r.props = r.props or self.props()
             self.expect("]")
         out = self.accept("->")
         if not out:
@@ -276,6 +275,8 @@ class Parser:
             return str(v).lower()
         if isinstance(v, (int, float)):
             return repr(v)
+        if isinstance(v, dict):
+            return "named_struct(" + ", ".join(f"'{k}', {Parser.literal(x)}" for k, x in v.items()) + ")"
         if isinstance(v, (list, tuple)):
             return "array(" + ", ".join(Parser.literal(x) for x in v) + ")"
         return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -378,7 +379,7 @@ SIZE = "__size"
 class Engine:
     """Runs one query against a graph; ``workspace`` is bound as $workspace and scopes the graph."""
 
-    def __init__(self, g: CodeGraph, parameters: dict | None = None, workspace: str | None = None):
+    def __init__(self, g: CodeGraph, parameters: dict | None = None, workspace: str | None = None, vectors: DataFrame | None = None):
         self.g = g.workspace(workspace)
         self.spark = g.nodes.sparkSession
         self.parameters = {"workspace": workspace} | (parameters or {})
@@ -386,6 +387,8 @@ class Engine:
         # the metadata map as text: values with maps can't be grouped or compared
         self.nodes = self.g.nodes.withColumn("metadata", F.to_json("metadata")).select(F.struct(*NODE_COLUMNS).alias("v"))
         self._edges: DataFrame | None = None
+        self.vectors = vectors
+        self.hints: dict[str, list[str]] = {}
 
     @property
     def edges(self) -> DataFrame:
@@ -399,6 +402,8 @@ class Engine:
 
     def _node_table(self, n: Node) -> DataFrame:
         df = self.nodes.select(F.col("v").alias(n.var))
+        for condition in self.hints.get(n.var, []):
+            df = df.where(self._sql(condition, df))
         for label in n.labels:
             if label != "CodeNode":
                 df = df.where(F.col(f"{n.var}.type") == label.lower())
@@ -416,12 +421,12 @@ class Engine:
         kinds = [re.sub(r"([a-z])([A-Z])", r"\1_\2", t).lower() for t in r.types if t != "RELATES_TO"]
         if kinds:
             e = e.where(F.col("type").isin(kinds))
-        e = e.select(F.struct("source", "target", "type", "weight", "eid").alias("r"))
+        e = e.select(F.struct("source", "target", "type", "weight", "eid").alias("_rel"))
         for key, value in r.props:
             if key != "workspace":
-                e = e.where(self._sql(f"r.`{key}` = {value}", e))
-        out = e.select("r", F.col("r.source").alias("_from"), F.col("r.target").alias("_to"))
-        back = e.select("r", F.col("r.target").alias("_from"), F.col("r.source").alias("_to"))
+                e = e.where(self._sql(f"_rel.`{key}` = {value}", e))
+        out = e.select("_rel", F.col("_rel.source").alias("_from"), F.col("_rel.target").alias("_to"))
+        back = e.select("_rel", F.col("_rel.target").alias("_from"), F.col("_rel.source").alias("_to"))
         if r.way == 1:
             return out
         if r.way == -1:
@@ -479,7 +484,7 @@ class Engine:
         table = self._rel_table(r)
         known = n.var in df.columns
         if not r.many:
-            df = df.join(table, F.col(f"{at}.id") == F.col("_from")).withColumnRenamed("r", r.var)
+            df = df.join(table, F.col(f"{at}.id") == F.col("_from")).withColumnRenamed("_rel", r.var)
             for other in used:
                 if other in df.columns and df.schema[other].dataType.simpleString().startswith("struct"):
                     df = df.where(F.col(f"{other}.eid") != F.col(f"{r.var}.eid"))
@@ -492,10 +497,11 @@ class Engine:
         ids = self.nodes.select("v", F.col("v.id").alias("_vid"))
         walk = df.withColumns({"_at": F.col(f"{at}.id"), r.var: F.expr("cast(array() as array<struct<source:string,target:string,type:string,weight:int,eid:bigint>>)"), f"_p{r.var}": F.array_remove(F.array(F.col(at)), F.col(at))})
         found = walk if r.least == 0 else None
-        for length in range(1, r.most + 1):
-            nxt = walk.join(table, F.col("_at") == F.col("_from")).where(~F.exists(F.col(r.var), lambda x: x["eid"] == F.col("r.eid")))
-            nxt = nxt.join(ids, F.col("_to") == F.col("_vid")).withColumns({"_at": F.col("_to"), r.var: F.concat(F.col(r.var), F.array("r")), f"_p{r.var}": F.concat(F.col(f"_p{r.var}"), F.array("v"))})
-            walk, seen, _ = self.scratch.cut(nxt.drop("_from", "_to", "_vid", "v", "r"), n=F.count(F.lit(1)))
+        # without a bound the walk goes on until no trail can be prolonged; trails never use an edge twice, so it ends
+        for length in itertools.count(1) if r.most is None else range(1, r.most + 1):
+            nxt = walk.join(table, F.col("_at") == F.col("_from")).where(~F.exists(F.col(r.var), lambda x: x["eid"] == F.col("_rel.eid")))
+            nxt = nxt.join(ids, F.col("_to") == F.col("_vid")).withColumns({"_at": F.col("_to"), r.var: F.concat(F.col(r.var), F.array("_rel")), f"_p{r.var}": F.concat(F.col(f"_p{r.var}"), F.array("v"))})
+            walk, seen, _ = self.scratch.cut(nxt.drop("_from", "_to", "_vid", "v", "_rel"), n=F.count(F.lit(1)))
             if length >= r.least:
                 found = walk if found is None else found.unionByName(walk)
             if not seen["n"]:
@@ -509,19 +515,22 @@ class Engine:
     def _shortest(self, df: DataFrame | None, p: Path) -> DataFrame:
         """One shortest path a pair, of least ids; the ends must differ. Levels are written to the shared folder."""
         a, b, r = p.nodes[0], p.nodes[-1], p.rels[0]
-        df = self._start(self._start(df, a), b)
-        df, _, _ = self.scratch.cut(df)
         table = self._rel_table(r)
-        ends = df.select(F.col(f"{a.var}.id").alias("_a"), F.col(f"{b.var}.id").alias("_b")).where("_a <> _b").distinct()
-        front = ends.select("_a", F.col("_a").alias("_at"), F.expr("cast(array() as array<struct<source:string,target:string,type:string,weight:int,eid:bigint>>)").alias("_rels"), F.array("_a").alias("_ids")).distinct()
+        if df is not None:
+            df, _, _ = self.scratch.cut(df)
+        bound = {n.var: df is not None and n.var in df.columns for n in (a, b)}
+        tables = {n.var: self._with_props(df.select(n.var).distinct(), n.var, n.props) if bound[n.var] else self._node_table(n) for n in (a, b)}
+        # the ends are never multiplied: the search starts at all of one kind and stops at those of the other
+        aim = tables[b.var].select(F.col(f"{b.var}.id").alias("_b")).distinct()
+        front = tables[a.var].select(F.col(f"{a.var}.id").alias("_a")).distinct().select("_a", F.col("_a").alias("_at"), F.expr("cast(array() as array<struct<source:string,target:string,type:string,weight:int,eid:bigint>>)").alias("_rels"), F.array("_a").alias("_ids"))
         met, hits = front.select("_a", "_at"), None
-        for length in range(1, r.most + 1):
-            nxt = front.join(table, F.col("_at") == F.col("_from")).select("_a", F.col("_to").alias("_at"), F.concat("_rels", F.array("r")).alias("_rels"), F.concat("_ids", F.array("_to")).alias("_ids"))
+        for length in itertools.count(1) if r.most is None else range(1, r.most + 1):
+            nxt = front.join(table, F.col("_at") == F.col("_from")).select("_a", F.col("_to").alias("_at"), F.concat("_rels", F.array("_rel")).alias("_rels"), F.concat("_ids", F.array("_to")).alias("_ids"))
             best = nxt.groupBy("_a", "_at").agg(F.min_by(F.struct("_rels", "_ids"), "_ids").alias("s")).select("_a", "_at", "s._rels", "s._ids").join(met, ["_a", "_at"], "left_anti")
             front, seen, _ = self.scratch.cut(best, n=F.count(F.lit(1)))
             met = met.unionAll(front.select("_a", "_at"))
             if length >= r.least:
-                here = front.join(ends, ["_a"]).where("_at = _b").select("_a", "_b", "_rels", "_ids")
+                here = front.join(aim, F.col("_at") == F.col("_b")).where("_a <> _b").select("_a", "_b", "_rels", "_ids")
                 hits = here if hits is None else hits.unionAll(here)
             if not seen["n"]:
                 break
@@ -529,7 +538,15 @@ class Engine:
         nodes = steps.groupBy("_a", "_b").agg(F.sort_array(F.collect_list(F.struct("_k", F.col("v.id").alias("_i")))).alias("_o"), F.map_from_entries(F.collect_list(F.struct(F.col("v.id"), "v"))).alias("_m"))
         nodes = nodes.select("_a", "_b", F.expr("transform(_o, x -> _m[x._i])").alias("_nodes"))
         full = hits.drop("_ids").join(nodes, ["_a", "_b"])
-        out = df.join(full, (F.col(f"{a.var}.id") == F.col("_a")) & (F.col(f"{b.var}.id") == F.col("_b"))).withColumn(r.var, F.col("_rels"))
+        on = {a.var: "_a", b.var: "_b"}
+        out = full
+        if df is not None:
+            keys = [F.col(f"{v}.id") == F.col(k) for v, k in on.items() if bound[v]]
+            out = df.join(full, keys[0] & keys[1] if len(keys) == 2 else keys[0] if keys else F.lit(True))
+        for v, k in on.items():
+            if not bound[v]:
+                out = out.join(tables[v], F.col(f"{v}.id") == F.col(k))
+        out = out.withColumn(r.var, F.col("_rels"))
         if p.var:
             out = out.withColumn(p.var, F.struct(F.col("_nodes").alias("nodes"), F.col("_rels").alias("rels")))
         return out.drop("_a", "_b", "_rels", "_nodes")
@@ -538,6 +555,12 @@ class Engine:
 
     def run(self, text: str) -> DataFrame:
         ps = Parser(text, self.parameters)
+        if ps.accept("explain"):
+            plan = self.read(ps)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            return self.spark.createDataFrame([(plan,)], "plan string")
+        return self.read(ps)
+
+    def read(self, ps: Parser) -> DataFrame:
         df: DataFrame | None = None
         while ps.word():
             if ps.accept("optional", "match"):
@@ -549,6 +572,8 @@ class Engine:
                 ps.expect("as")
                 name = ps.name()
                 df = (self.spark.range(1) if df is None else df).withColumn(name, F.explode(self._sql(x, df) if df is not None else F.expr(x)))
+            elif ps.accept("call"):
+                df = self._call(df, ps)
             elif ps.accept("with"):
                 df = self._project(df, ps, False)
             elif ps.accept("return"):
@@ -559,11 +584,90 @@ class Engine:
 
     def _match(self, df: DataFrame | None, ps: Parser, where: bool = True) -> DataFrame:
         used: list[str] = []
-        df = self._path(df, ps.path(), used)
+        found = [ps.path()]
         while ps.accept(","):
-            df = self._path(df, ps.path(), used)
+            found.append(ps.path())
+        self.hints = self._ahead(ps, {n.var for p in found for n in p.nodes}) if where else {}
+        for p in found:
+            df = self._path(df, p, used)
+        self.hints = {}
         return self._where(df, ps) if where else df
 
+    def _ahead(self, ps: Parser, variables: set[str]) -> dict[str, list[str]]:
+        """Conditions of the WHERE that follows which hold one node variable each: nodes meet them before any join or
+        search, as those cannot be pushed through the rounds of a search."""
+        mark, found = ps.at, {}
+        try:
+            if ps.accept("where"):
+                while True:
+                    ps.accept("not") if ps.low() == "not" and ps.word(1) == "(" and self._pattern_ahead_at(ps, 1) else None
+                    if ps.word() == "(" and self._is_pattern(ps):
+                        ps.path()
+                    else:
+                        cond = ps.not_()
+                        bare = re.sub(r"'(?:\\.|[^'\\])*'", "", cond)
+                        names = set(re.findall(r"`(\w+)`\.", bare)) | (set(re.findall(r"`(\w+)`(?!\.)", re.sub(r"\.`\w+`", "", bare))) & variables)
+                        if len(names) == 1 and names <= variables and "->" not in bare and SIZE not in bare:
+                            found.setdefault(names.pop(), []).append(cond)
+                    if ps.low() in ("or", "xor"):
+                        found = {}
+                        break
+                    if not ps.accept("and"):
+                        break
+        except CypherError:
+            found = {}
+        ps.at = mark
+        return found
+
+    def _pattern_ahead_at(self, ps: Parser, skip: int) -> bool:
+        mark = ps.at
+        ps.at += skip
+        hit = ps.word() == "(" and self._is_pattern(ps)
+        ps.at = mark
+        return hit
+
+    def _call(self, df: DataFrame | None, ps: Parser) -> DataFrame:
+        """CALL of the vector or full-text index: YIELD node and score, the k best or all hits."""
+        name = ps.name()
+        while ps.accept("."):
+            name += "." + ps.name()
+        ps.expect("(")
+        args: list = []
+        while not ps.accept(")"):
+            if ps.kind() == "par":
+                key = ps.take()[1:]
+                if key not in self.parameters:
+                    raise CypherError(f"no parameter ${key}")
+                args.append(self.parameters[key])
+            else:
+                text = ps.expression()
+                args.append(self.spark.range(1).select(F.expr(text)).first()[0])
+            ps.accept(",")
+        if name == "db.index.vector.queryNodes":
+            if self.vectors is None or len(args) != 3 or not args[2]:
+                raise CypherError("the vector index needs stored vectors, a number and a vector")
+            hits = search.vector_topk(self.vectors, "id", "embedding", [float(x) for x in args[2]], int(args[1])).select(F.col("id").alias("_hit"), "score")
+        elif name == "db.index.fulltext.queryNodes":
+            words = [w for w in str(args[1]).lower().split() if w]
+            text = F.lower(F.concat_ws(" ", "v.label", "v.full_name", "v.semantic_summary"))
+            score = sum((text.contains(w).cast("double") for w in words), F.lit(0.0))
+            hits = self.nodes.select(F.col("v.id").alias("_hit"), score.alias("score")).where("score > 0")
+        else:
+            raise CypherError(f"unknown procedure {name}")
+        names = {"node": "node", "score": "score"}
+        if ps.accept("yield"):
+            names = {}
+            while True:
+                given = ps.name()
+                if given not in ("node", "score"):
+                    raise CypherError(f"{name} has no {given}")
+                names[given] = ps.name() if ps.accept("as") else given
+                if not ps.accept(","):
+                    break
+        met = hits.join(self.nodes, F.col("_hit") == F.col("v.id")).withColumnRenamed("v", "node").select(*[F.col(a).alias(b) for a, b in names.items()])
+        met = met if df is None else df.join(met, F.lit(True))
+        return self._where(met, ps)
+
     def _where(self, df: DataFrame, ps: Parser) -> DataFrame:
         if not ps.accept("where"):
             return df
@@ -690,6 +794,7 @@ class Engine:
         return out
 
 
-def run_cypher(g: CodeGraph, text: str, parameters: dict | None = None, workspace: str | None = None) -> DataFrame:
-    """The result of a read-only query. Anything outside the subset is a CypherError."""
-    return Engine(g, parameters, workspace).run(text)
+def run_cypher(g: CodeGraph, text: str, parameters: dict | None = None, workspace: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """The result of a read-only query, or its plan after EXPLAIN. ``vectors`` (id, embedding) is the vector index that
+    CALL asks. Anything outside the subset is a CypherError."""
+    return Engine(g, parameters, workspace, vectors).run(text)

@@ -13,6 +13,7 @@ from graphloom.operators import impact, patterns, paths, search
 from graphloom.plans.cypher import CypherError, run_cypher
 from graphloom.plans.router import detect_architecture, find_patterns, route
 from graphloom.plans.sql_query import explained
+from graphloom.shared import scratch_scope
 from graphloom.sources.go_extract import analyze_codebase, module_path
 from graphloom.sources.store import GraphStore
 
@@ -39,8 +40,8 @@ class Tools:
     Results are what a client shows: all rows of a query come, partition by partition; only its own limit cuts them.
     """
 
-    def __init__(self, spark: SparkSession, store: GraphStore, provider: Provider | None = None):
-        self.spark, self.store, self.provider = spark, store, provider
+    def __init__(self, spark: SparkSession, store: GraphStore, provider: Provider | None = None, model: str = "provider"):
+        self.spark, self.store, self.provider, self.model = spark, store, provider, model
 
     def run(self, name: str, **args) -> Result:
         if name not in REQUIRED:
@@ -49,12 +50,13 @@ class Tools:
         if missing:
             return Result(f"{name} needs {', '.join(missing)}", error=True)
         try:
-            return getattr(self, f"_{name}")(**{k if k not in ("from",) else "start": v for k, v in args.items()})
+            with scratch_scope():  # results are read out before it ends
+                return getattr(self, f"_{name}")(**{k if k not in ("from",) else "start": v for k, v in args.items()})
         except (ValueError, OSError) as e:
             return Result(str(e), error=True)
 
     def _graph(self, workspace: str):
-        return self.store.graph().workspace(workspace)
+        return self.store.graph(workspace).workspace(workspace)
 
     def _rows(self, df: DataFrame, note: str) -> Result:
         rows = [json.loads(r) for r in df.toJSON().toLocalIterator()]
@@ -62,7 +64,7 @@ class Tools:
 
     def _cypher_query(self, query: str, workspace: str, parameters: dict | None = None, explain: bool = False) -> Result:
         try:
-            df = run_cypher(self.store.graph(), query, parameters, workspace)
+            df = run_cypher(self.store.graph(workspace), query, parameters, workspace, self.store.embeddings(workspace))
         except CypherError as e:
             return Result(f"query failed: {e}", error=True)
         if explain:
@@ -77,8 +79,9 @@ class Tools:
             except Exception:
                 vector = None
             if vector:
-                stored = self.store.read("embeddings", "id string, workspace string, semantic_hash string, embedding array<float>, embedding_model string")
-                return self._rows(search.hybrid_search(g, stored.where(stored["workspace"] == workspace), vector), "Hybrid search results")
+                found = self._rows(search.hybrid_search(g, self.store.embeddings(workspace), vector), "Hybrid search results")
+                if found.rows:  # nothing stored to compare with: the question goes to the router
+                    return found
         plan = route(question)
         return self._rows(plan.run(g), f"Pattern-based query: {plan.rule}")
 
@@ -109,7 +112,7 @@ class Tools:
         begun = time.time()
         name = workspaceName or workspace_label(workspacePath)
         g = analyze_codebase(self.spark, workspacePath, allowedPackages)
-        counts = self.store.save(g, name, incremental=incremental, path=workspacePath)
+        counts = self.store.save(g, name, incremental=incremental, path=workspacePath, provider=self.provider, model=self.model)
         kinds = {r["nodeType"]: r["count"] for r in patterns.type_distribution(self._graph(name)).collect()}
         return Result(f"Workspace {name}: {counts['nodes']} nodes, {counts['edges']} edges in {time.time() - begun:.1f} s", [counts | kinds])
 

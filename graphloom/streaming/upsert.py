@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from graphloom.functions.canonical import canonical_type, present
-from graphloom.sources.store import GraphStore
+from graphloom.graph import with_missing
+from graphloom.shared import Scratch
+from graphloom.sources.store import TYPES, GraphStore
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -30,14 +32,21 @@ def first_deliveries(edges: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def upsert_nodes(store: GraphStore, workspace_of: str = "workspace") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: nodes of each batch are merged into the store by id, the latest created_at winning."""
+    """A foreachBatch function: nodes of each batch are merged into the store by workspace and id, the latest created_at
+    winning. Only the folders of workspaces that the batch names are read and written."""
     from graphloom.operators import merge
 
     def apply(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), "created_at").alias("s")).select("id", "s.*")
-        stored = store.read("nodes", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields))
-        merged = merge.merge_nodes(stored, latest.drop("created_at"), F.current_timestamp())
-        store.write("nodes", merged.drop("stale", "status"))  # a batch is no full snapshot: what it lacks stays
+        kept = [c for c in batch.columns if c not in ("id", workspace_of)]
+        batch = batch.where(F.col("id").isNotNull() & F.col(workspace_of).isNotNull())
+        latest, _, _ = Scratch(store.spark, "batch").cut(batch.groupBy(workspace_of, "id").agg(F.max_by(F.struct(*kept), "created_at").alias("s")).select("id", F.col(workspace_of).alias("workspace"), "s.*"))
+        for row in latest.select("workspace").distinct().toLocalIterator():
+            name = row["workspace"]
+            stored = store.read("nodes", store._nodes_schema(), name)
+            mine = with_missing(latest.where(F.col("workspace") == name), stored.columns, TYPES)
+            merged = merge.merge_nodes(stored, mine.drop("created_at", "updated_at", "last_seen"), F.current_timestamp())
+            # a batch is no full snapshot: what it lacks stays
+            store.write("nodes", merged.select(*stored.columns), ("workspace", "type"), only=name)
 
     return apply
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import CodeGraph
 from graphloom.operators import impact, paths, patterns, search, summaries
 from graphloom.plans.cypher import CypherError, run_cypher
+from graphloom.plans.prompts import PROMPTS
 from graphloom.plans.router import find_patterns, name_part, route
 
 #: a graph small enough to check by hand: f* functions, S a struct, I an interface
@@ -129,7 +130,7 @@ def test_cypher(g, text, want):
     assert got == want
 
 
-@pytest.mark.parametrize("text", ["MATCH (a) DELETE a", "RETURN", "MATCH (a RETURN a", "MATCH (a) RETURN $missing", "CREATE (a)", "MATCH (a)-[*1..99]->(b) RETURN a", ""])
+@pytest.mark.parametrize("text", ["MATCH (a) DELETE a", "RETURN", "MATCH (a RETURN a", "MATCH (a) RETURN $missing", "CREATE (a)", ""])
 def test_cypher_errors(g, text):
     with pytest.raises(CypherError):
         run_cypher(g, text).collect()
