@@ -208,8 +208,8 @@ def uses_pairs(g: CodeGraph) -> DataFrame:
 
 
 def complex_functions(g: CodeGraph, above: int = 5, limit: int | None = 20) -> DataFrame:
-    f = g.of(*FUNCTIONS).where(F.col("complexity") > above)
-    return f.select("id", "label", "package", "complexity").orderBy(F.desc("complexity"), "id").limit(limit)
+    f = g.of(*FUNCTIONS).where(F.col("complexity") > above).select("id", "label", "package", "complexity").orderBy(F.desc("complexity"), "id")
+    return f if limit is None else f.limit(limit)
 
 
 def complexity_above(g: CodeGraph, above: int = 10) -> DataFrame:

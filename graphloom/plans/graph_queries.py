@@ -227,7 +227,21 @@ def _trace(g: CodeGraph) -> DataFrame:
     return found.select("start", "end", F.array_join("labels", " > ").alias("labels"), "length")
 
 
-_add("trace_call_path", _trace, None)
+_add(
+    "trace_call_path",
+    _trace,
+    # distances to each node of the name, then from the farthest a walk that always takes the least next id
+    CALLS
+    + f""", r AS (SELECT id AS fin, id AS node, 0 AS d FROM f WHERE label = '{HOT}' OR full_name = '{HOT}' UNION SELECT r.fin, fc.source, r.d + 1 FROM r JOIN fc ON fc.target = r.node WHERE r.d < 10),
+m AS (SELECT fin, node, min(d) AS d FROM r GROUP BY 1, 2),
+far AS (SELECT full_name FROM (SELECT node, min(d) AS d FROM m WHERE node <> fin GROUP BY 1) x JOIN n ON n.id = node ORDER BY d DESC, node LIMIT 1),
+s AS (SELECT id AS start FROM f WHERE full_name = (SELECT full_name FROM far) OR label = (SELECT full_name FROM far)),
+p AS (SELECT start, fin, d AS length FROM s JOIN m ON m.node = s.start WHERE d > 0 ORDER BY d, start, fin LIMIT 5),
+hop AS (SELECT m.fin, c.source, m.d + 1 AS d, min(c.target) AS target FROM fc c JOIN m ON m.node = c.target JOIN m o ON o.fin = m.fin AND o.node = c.source AND o.d = m.d + 1 GROUP BY 1, 2, 3),
+w AS (SELECT start, fin, length, start AS node, length AS left_, (SELECT label FROM n WHERE n.id = start) AS labels FROM p
+  UNION ALL SELECT w.start, w.fin, w.length, hop.target, w.left_ - 1, w.labels || ' > ' || n.label FROM w JOIN hop ON hop.fin = w.fin AND hop.source = w.node AND hop.d = w.left_ JOIN n ON n.id = hop.target WHERE w.left_ > 0)
+SELECT start, fin AS "end", labels, length FROM w WHERE left_ = 0""",
+)
 
 # ---- search
 SCORE = f"CASE WHEN lower(label) = '{TERM}' THEN 100 ELSE 0 END + CASE WHEN starts_with(lower(label), '{TERM}') THEN 50 ELSE 0 END + CASE WHEN lower(type) = '{TERM}' THEN 80 ELSE 0 END + 2 * CASE WHEN coalesce(complexity, 0) = 0 THEN 1 ELSE complexity END + CASE WHEN coalesce(size, 0) = 0 THEN 1 ELSE size END"
@@ -295,11 +309,30 @@ def called_lists(g: CodeGraph) -> DataFrame:
 
 
 QUERIES["clean_documentation"], QUERIES["workspace_names"] = clean_documentation, workspace_names
+#: d0 (id, one) to d3 (id, doc): whole characters that fit in 200 bytes, cut after the last full stop before a blank
+CLEAN = """d1 AS (SELECT id, one, strlen(one) AS bytes, left(one, 200) AS front FROM d0),
+d2 AS (SELECT *, left(front, list_max(list_filter(range(0, 201), lambda k: strlen(left(front, k)) <= 200))) AS head, left(front, list_max(list_filter(range(0, 201), lambda k: strlen(left(front, k)) <= 197))) AS short FROM d1),
+d3 AS (SELECT id, CASE WHEN bytes <= 200 THEN one WHEN strpos(reverse(head), ' .') > 0 AND length(head) - strpos(reverse(head), ' .') > 1 THEN left(head, length(head) - strpos(reverse(head), ' .')) ELSE short || '...' END AS doc FROM d2)"""
+SQL["clean_documentation"] = f"WITH d0 AS (SELECT doc_id AS id, trim(regexp_replace(text, '[ \\n\\t\\r]+', ' ', 'g')) AS one FROM documents WHERE text IS NOT NULL), {CLEAN} SELECT id AS doc_id, doc FROM d3"
 SQL["workspace_names"] = "SELECT name, CASE WHEN c = '' THEN 'workspace' WHEN regexp_matches(c, '^[0-9]') THEN 'ws_' || c ELSE c END AS identifier FROM (SELECT name, regexp_replace(coalesce(list_extract(string_split(regexp_replace(path, '/+$', ''), '/'), -1), ''), '[^A-Za-z0-9_-]', '_', 'g') AS c FROM workspaces)"
 _add("rel_names", rel_names, "SELECT DISTINCT type, array_to_string([upper(w[1]) || w[2:] for w in string_split(type, '_')], '') AS rel FROM ea")
 _add("hash_nodes", hash_nodes, "SELECT id, sha256(concat_ws('|', coalesce(signature, ''), type, coalesce(visibility, ''), coalesce(size::VARCHAR, ''), coalesce(complexity::VARCHAR, ''), coalesce(position.filename, ''))) AS content_hash, sha256(coalesce(semantic_summary, '')) AS semantic_hash FROM n WHERE type IN ('function', 'method', 'struct', 'interface')")
 _add("called_lists", called_lists, ", l AS (SELECT source, list_sort(list(DISTINCT CASE WHEN e.type = 'calls' THEN n.label END)) AS c FROM e JOIN n ON n.id = e.target WHERE e.type IN ('calls', 'uses', 'returns', 'implements', 'handles_error', 'spawns_goroutine') GROUP BY 1), k AS (SELECT source, [x for x in c if x IS NOT NULL] AS c FROM l) SELECT source AS id, CASE WHEN len(c) <= 5 THEN array_to_string(c, ', ') ELSE array_to_string(c[1:5], ', ') || ' and ' || (len(c) - 5)::VARCHAR || ' more' END AS calls FROM k")
-_add("semantic_summary", summaries.semantic_summaries, None)
+LISTED = "CASE WHEN len({0}) <= 5 THEN array_to_string({0}, ', ') ELSE array_to_string({0}[1:5], ', ') || ' and ' || (len({0}) - 5) || ' more' END"
+CALLED = "type IN ('function', 'method')"
+_add(
+    "semantic_summary",
+    summaries.semantic_summaries,
+    f""", d0 AS (SELECT id, trim(regexp_replace(coalesce(documentation, ''), '[ \\n\\t\\r]+', ' ', 'g')) AS one FROM n), {CLEAN},
+l AS (SELECT source, """
+    + ", ".join(f"list_sort(list(DISTINCT n.label) FILTER (e.type = '{k}')) AS {k}" for k in ("calls", "uses", "returns", "implements"))
+    + f""", bool_or(e.type = 'handles_error') AS errors, bool_or(e.type = 'spawns_goroutine') AS spawns FROM e JOIN n ON n.id = e.target WHERE e.type IN ('calls', 'uses', 'returns', 'implements', 'handles_error', 'spawns_goroutine') GROUP BY 1),
+t AS (SELECT n.*, concat_ws('. ', concat_ws(' ', type, label, 'in', coalesce(package, '')), nullif(doc, ''), CASE WHEN {CALLED} THEN nullif(signature, '') END, 'calls: ' || CASE WHEN len(calls) > 0 THEN {LISTED.format('calls')} END,
+  'uses: ' || CASE WHEN len(uses) > 0 THEN {LISTED.format('uses')} END, 'returns: ' || CASE WHEN len("returns") > 0 THEN array_to_string("returns", ', ') END, 'implements: ' || CASE WHEN len(implements) > 0 THEN array_to_string(implements, ', ') END,
+  CASE WHEN errors THEN 'handles errors' END, CASE WHEN spawns THEN 'spawns goroutines' END, CASE WHEN {CALLED} AND complexity > 10 THEN 'complexity ' || complexity END) AS summary
+  FROM n LEFT JOIN l ON l.source = n.id JOIN d3 USING (id) WHERE type IN ('function', 'method', 'struct', 'interface'))
+SELECT id, summary, sha256(summary) AS semantic_hash, sha256(concat_ws('|', coalesce(signature, ''), type, coalesce(visibility, ''), coalesce(size::VARCHAR, ''), coalesce(complexity::VARCHAR, ''), coalesce(position.filename, ''))) AS content_hash FROM t""",
+)
 
 # ---- merging: the first and last snapshot of every workspace as old and new store
 
@@ -399,11 +432,28 @@ def go_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Extraction(facts(files)).edges().groupBy("type").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def go_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods that the Go reader finds in every file."""
+    files = spark.read.parquet(f"{sf_dir}/source_files.parquet").where("content IS NOT NULL")
+    found = facts(files.select("package", "filename", "content", "file_id").groupBy("package", "filename").agg(F.max_by("content", "file_id").alias("content"))).where("kind = 'func'")
+    return found.groupBy("package", "filename").agg(F.count(F.when(F.col("type_name") == "function", 1)).alias("functions"), F.count(F.when(F.col("type_name") == "method", 1)).alias("methods"))
+
+
 def mock_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = CodeGraph.cleaned(spark, sf_dir).nodes
     return embedded_nodes(nodes, mock_provider(64)).select("id", F.size("embedding").alias("dimensions"))
 
 
-QUERIES |= {"stream_type_counts": stream_type_counts, "go_extract": go_extract, "go_edges": go_edges, "mock_embedding": mock_vectors}
+QUERIES |= {"stream_type_counts": stream_type_counts, "go_extract": go_extract, "go_edges": go_edges, "go_functions": go_functions, "mock_embedding": mock_vectors}
 SQL["stream_type_counts"] = f"SELECT date_trunc('month', created_at)::TIMESTAMP AS month, {KIND} AS type, count(*) AS edges FROM edges GROUP BY 1, 2"
 SQL["mock_embedding"] = BASE + "SELECT id, CASE WHEN semantic_summary <> '' THEN 64 END AS dimensions FROM n WHERE type IN ('function', 'method', 'struct', 'interface')"
+#: lines that begin a function outside comments and raw strings, in the last delivery of each file
+SQL["go_functions"] = r"""
+WITH x AS (SELECT package, filename, file_id, string_split(replace(replace(arg_max(content, file_id), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l
+  FROM (SELECT package, filename, content, file_id FROM source_files WHERE content IS NOT NULL) GROUP BY ALL),
+y AS (SELECT package, filename, arg_max(l, file_id) AS l FROM x GROUP BY 1, 2),
+r0 AS (SELECT package, filename, unnest(l) AS s, generate_subscripts(l, 1) AS n FROM y),
+r1 AS (SELECT *, regexp_replace(regexp_replace(s, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''', '_', 'g'), '//.*$', '') AS z FROM r0),
+r AS (SELECT *, coalesce(sum(len(regexp_extract_all(z, '/\*')) - len(regexp_extract_all(z, '\*/'))) OVER w, 0) AS comments, coalesce(sum(len(regexp_extract_all(z, '`'))) OVER w, 0) % 2 AS raw
+  FROM r1 WINDOW w AS (PARTITION BY package, filename ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT package, filename, count(*) FILTER (NOT regexp_matches(s, '^func\s*\(')) AS functions, count(*) FILTER (regexp_matches(s, '^func\s*\(')) AS methods FROM r WHERE regexp_matches(s, '^func\b') AND comments = 0 AND raw = 0 GROUP BY 1, 2"""
