@@ -396,7 +396,8 @@ class Neighbours:
         across = directed.join(front.select(F.col("c").alias("d"), F.col("id").alias("other"), F.col("nth")).where(F.col("nth") <= k), "d").select("c", "other", "similarity", F.lit(1).alias("tier"), "nth")
         copies = front.where(F.col("nth") == 2).select("c")
         own = front.join(copies, "c", "left_semi").select("c", F.col("id").alias("other"), F.lit(1.0).alias("similarity"), F.lit(0).alias("tier"), "nth")
-        shared = Window.partitionBy("c").orderBy("tier", F.desc("similarity"), "other")
+        # similarities that differ by rounding alone are ties
+        shared = Window.partitionBy("c").orderBy("tier", F.round("similarity", 9).desc(), "other")
         lists = across.unionAll(own).withColumn("p", F.row_number().over(shared)).where(F.col("p") <= k + 1).select("c", "other", "similarity", "p")
         each = Window.partitionBy("id").orderBy("p")
         met = names.join(lists, "c").where(F.col("id") != F.col("other")).withColumn("place", F.row_number().over(each)).where(F.col("place") <= k)

@@ -86,6 +86,9 @@ class ByteBpe:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.table = PairTable(*(np.array(x, dtype=np.int64) for x in (left, right, merged)))
         self._split, self._split_ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
 
@@ -300,6 +303,23 @@ def encode_texts(df: DataFrame, text: str, out: str = "ids", tokenizer: str = "b
     return df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
+def decode_texts(df: DataFrame, ids: str, out: str = "text", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """``df`` with the text of a column of token ids in place of it. Null ids have a null text, an empty list an empty
+    one; ids that do not add up to UTF-8 have replacement characters; unknown ids are an error."""
+    path = f"{tokenizer_dir}/{tokenizer}.tiktoken"
+    keep = [f for f in df.schema.fields if f.name not in (ids, out)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(path).bpe.tokens
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [None if x is None else b"".join([tokens[i] for i in x]).decode("utf-8", "replace") for x in lists]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(texts, pa.string())], names=[*[f.name for f in keep], out])
+
+    schema = T.StructType([*keep, T.StructField(out, T.StringType(), True)])
+    return df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{ids}`").alias("__ids")).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """As ``encode_texts``, with the number of ids (bigint) only; null and empty texts have 0."""
     path = f"{tokenizer_dir}/{tokenizer}.tiktoken"

@@ -71,3 +71,20 @@ def test_dataframe(spark, reference):
 def test_decodes_back(bpe, reference):
     text = "Round trip: naïve café № 42 → ∀x\n\tend"
     assert reference.decode(tk.CorpusEncoder(bpe).encode([text])[0].tolist()) == text
+
+
+def test_decoding_gives_the_text_back(spark):
+    texts = ["", "a b", "don't 漢字 ½", "x" * 3000, None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, ids string")
+    got = tk.decode_texts(tk.encode_texts(df, "text"), "ids").orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [t or "" for t in texts]
+    odd = spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")
+    assert [r["text"] for r in tk.decode_texts(odd, "ids").orderBy("k").collect()] == [None, ""]
+
+
+def test_long_pieces_equal_the_reference(bpe, reference):
+    import random
+
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgABCDEFG") for _ in range(20_000))
+    assert tk.CorpusEncoder(bpe).encode([text])[0].tolist() == reference.encode_ordinary(text)
