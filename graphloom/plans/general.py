@@ -68,6 +68,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select(F.col("scope").alias("workspace"), "snapshot_no", F.col("key").alias("id"), "change")
 
 
+def p5_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p5_found, with the embedding model compared too, and which of the two differ."""
+    rows = table(spark, sf_dir, "node_snapshots")
+    key = F.when(present(F.col("id")), stripped(F.col("id")))
+    changes = snapshot_changes(rows, F.col("workspace"), F.col("snapshot_no"), key, canonical_hex(F.col("semantic_hash")), F.col("loaded_at"), compare={"model": F.col("embedding_model")})
+    return changes.select(F.col("scope").alias("workspace"), "snapshot_no", F.col("key").alias("id"), "change", F.array_join("columns", ",").alias("columns"))
+
+
 KIND = r"lower(regexp_replace(regexp_replace(regexp_replace(type, '^\s+|\s+$', '', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[\s_-]+', '_', 'g'))"
 SPACE = r"'^\s+|\s+$', '', 'g'"
 
@@ -130,6 +138,20 @@ SELECT coalesce(new.workspace, old.workspace) AS workspace, coalesce(new.snapsho
   CASE WHEN old.h IS NULL THEN 'added' WHEN new.h IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM new FULL JOIN old ON new.workspace = old.workspace AND new.snapshot_no = old.snapshot_no AND new.id = old.id
 WHERE old.h IS NULL OR new.h IS NULL OR old.h <> new.h""",
+    "p5_columns": rf"""
+WITH r AS (SELECT workspace, snapshot_no, loaded_at, regexp_replace(id, {SPACE}) AS id,
+  embedding_model AS m, nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(semantic_hash, {SPACE})), '^[a-z0-9_-]+:', ''), '^0x', ''), '[\s:-]+', '', 'g'), '') AS h
+  FROM node_snapshots WHERE workspace IS NOT NULL AND snapshot_no IS NOT NULL),
+d AS (SELECT workspace, snapshot_no, lag(snapshot_no) OVER (PARTITION BY workspace ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT workspace, snapshot_no FROM r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY workspace, snapshot_no, id ORDER BY loaded_at DESC NULLS LAST, h DESC NULLS LAST, m DESC NULLS LAST) AS n FROM r WHERE id <> ''),
+s AS (SELECT workspace, snapshot_no, id, h, m FROM o WHERE n = 1 AND h IS NOT NULL),
+new AS (SELECT s.*, d.before FROM s JOIN d USING (workspace, snapshot_no) WHERE d.before IS NOT NULL),
+old AS (SELECT d.workspace, d.snapshot_no, s.id, s.h, s.m FROM s JOIN d ON d.workspace = s.workspace AND d.before = s.snapshot_no)
+SELECT coalesce(new.workspace, old.workspace) AS workspace, coalesce(new.snapshot_no, old.snapshot_no) AS snapshot_no, coalesce(new.id, old.id) AS id,
+  CASE WHEN old.h IS NULL THEN 'added' WHEN new.h IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  CASE WHEN old.h IS NULL OR new.h IS NULL THEN '' ELSE concat_ws(',', CASE WHEN old.h <> new.h THEN 'state' END, CASE WHEN old.m IS DISTINCT FROM new.m THEN 'model' END) END AS columns
+FROM new FULL JOIN old ON new.workspace = old.workspace AND new.snapshot_no = old.snapshot_no AND new.id = old.id
+WHERE old.h IS NULL OR new.h IS NULL OR old.h <> new.h OR old.m IS DISTINCT FROM new.m""",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_totals, p4_found, p4_nodes, p4_paths, p4_impact, p4_extra_parents, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_totals, p4_found, p4_nodes, p4_paths, p4_impact, p4_extra_parents, p5_found, p5_columns)}

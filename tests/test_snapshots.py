@@ -72,3 +72,11 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(data, SCHEMA)
     extra = df.withColumns({c: F.lit("x") for c in ("scope", "key", "ord", "last", "state", "no", "next_no", "change", "loaded", "top")})
     assert changes(extra) == changes(df) == brute(data)
+
+
+def test_several_columns(spark):
+    """A change of any compared column counts, null is a value, and the names tell which; presence goes by the state."""
+    data = [("w", 1, "a", "x", 1, "m"), ("w", 2, "a", "x", 1, "n"), ("w", 3, "a", "y", 1, None), ("w", 4, "a", "y", 1, None), ("w", 5, "a", None, 1, "n"), ("w", 2, "b", "x", 1, "m"), ("w", 3, "b", "x", 1, "m")]
+    got = snapshot_changes(spark.createDataFrame(data, SCHEMA), F.col("w"), F.col("n"), F.col("id"), F.col("h"), F.col("t"), compare={"note": F.col("note")})
+    found = sorted((r["snapshot_no"], r["key"], r["change"], tuple(r["columns"])) for r in got.collect())
+    assert found == [(2, "a", "changed", ("note",)), (2, "b", "added", ()), (3, "a", "changed", ("state", "note")), (4, "b", "removed", ()), (5, "a", "removed", ())]
