@@ -38,6 +38,22 @@ def reach(links: DataFrame, starts: DataFrame, most: int, *, scratch: Scratch |
     return met
 
 
+def reach_paths(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """start, node, path: as ``reach``, with the ids of one shortest path each, the least of them."""
+    scratch = Scratch(links.sparkSession, "reach")
+    links, _, _ = scratch.cut(links)
+    frontier, seen, _ = scratch.cut(starts.select("start", "node").distinct().withColumn("path", F.array("node")), n=F.count(F.lit(1)))
+    met, found = frontier.select("start", "node"), frontier
+    for _ in range(most):
+        if not seen["n"]:
+            break
+        step = frontier.join(links, F.col("node") == F.col("source")).select("start", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
+        best = step.groupBy("start", "node").agg(F.min("path").alias("path")).join(met, ["start", "node"], "left_anti")
+        frontier, seen, _ = scratch.cut(best, n=F.count(F.lit(1)))
+        met, found = met.unionAll(frontier.select("start", "node")), found.unionAll(frontier)
+    return found
+
+
 def distances_to(g: CodeGraph, name: str, most: int = 10) -> DataFrame:
     """Least number of calls, 1 .. most, from every function and method to those of a name."""
     links = _links(g, ("calls",), CALLABLE)
@@ -91,10 +107,10 @@ def path_goroutines(g: CodeGraph, start: str, end: str, most: int = 10) -> DataF
 
 
 def reachable(g: CodeGraph, source: Column, target: Column, most: int = 5, limit: int | None = None) -> DataFrame:
-    """start, node, distance for nodes of ``source`` that reach nodes of ``target`` in 1 .. most calls."""
+    """start, node, distance, path (ids) for nodes of ``source`` that reach nodes of ``target`` in 1 .. most calls."""
     starts = g.nodes.where(source).select(F.col("id").alias("start"), F.col("id").alias("node"))
-    found = reach(_links(g, ("calls",)), starts, most).where("distance > 0")
-    out = found.join(g.nodes.where(target).select(F.col("id").alias("node")), "node", "left_semi").select("start", "node", "distance")
+    found = reach_paths(_links(g, ("calls",)), starts, most).withColumn("distance", F.size("path") - 1).where("distance > 0")
+    out = found.join(g.nodes.where(target).select(F.col("id").alias("node")), "node", "left_semi").select("start", "node", "distance", "path")
     return out.orderBy("distance", "start", "node").limit(limit) if limit else out
 
 

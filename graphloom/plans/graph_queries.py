@@ -17,6 +17,7 @@ from graphloom.plans.general import KIND
 from graphloom.plans.sql_query import sql_query
 from graphloom.shared import Scratch
 from graphloom.sources.go_extract import Extraction, facts
+from graphloom.streaming.upsert import edge_counts
 
 COMPONENT = "function:tallyvine/core/common.Wrapf"
 PACKAGE = "tallyvine/core/common"
@@ -210,7 +211,7 @@ _add("import_cycles", lambda g: paths.on_cycles(g, "imports"), ", l AS (SELECT D
 _add("import_chains", paths.import_chains, ", l AS (SELECT DISTINCT source, target FROM e WHERE type = 'imports'), w AS (SELECT source AS v, target AS node, 1 AS d FROM l UNION SELECT w.v, l.target, w.d + 1 FROM w JOIN l ON l.source = w.node WHERE w.d < 6) SELECT v AS start, node AS \"end\", d AS length FROM w WHERE d >= 3 AND v <> node ORDER BY 3 DESC, 1, 2 LIMIT 10")
 _add(
     "reachability",
-    lambda g: paths.reachable(g, F.lower("label").startswith("check") & F.col("type").isin("function", "method"), F.col("label").contains("Wrapf"), 5),
+    lambda g: paths.reachable(g, F.lower("label").startswith("check") & F.col("type").isin("function", "method"), F.col("label").contains("Wrapf"), 5).drop("path"),
     CALLS + f", r AS (SELECT id AS s, id AS node, 0 AS d FROM n WHERE type IN {FUNC} AND starts_with(lower(label), 'check') UNION SELECT r.s, c.target, d + 1 FROM r JOIN c ON c.source = r.node WHERE d < 5), m AS (SELECT s, node, min(d) AS d FROM r GROUP BY 1, 2) SELECT s AS start, m.node, d AS distance FROM m JOIN n ON n.id = m.node WHERE d > 0 AND contains(n.label, 'Wrapf')",
 )
 _add(
@@ -420,6 +421,15 @@ def stream_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by day and type of a stream with event-time windows and a watermark wide enough for all late rows."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/edges.parquet").schema).parquet(f"{sf_dir}/edges.parq*")
+    name = f"windows_{uuid.uuid4().hex}"
+    run = edge_counts(stream, "1 day", "36500 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", Scratch(spark, "stream").path()).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "type", "edges")
+
+
 def go_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of all source files by package and type."""
     files = spark.read.parquet(f"{sf_dir}/source_files.parquet").groupBy("package", "filename").agg(F.max_by("content", "file_id").alias("content"))
@@ -444,8 +454,9 @@ def mock_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded_nodes(nodes, mock_provider(64)).select("id", F.size("embedding").alias("dimensions"))
 
 
-QUERIES |= {"stream_type_counts": stream_type_counts, "go_extract": go_extract, "go_edges": go_edges, "go_functions": go_functions, "mock_embedding": mock_vectors}
+QUERIES |= {"stream_type_counts": stream_type_counts, "stream_windows": stream_windows, "go_extract": go_extract, "go_edges": go_edges, "go_functions": go_functions, "mock_embedding": mock_vectors}
 SQL["stream_type_counts"] = f"SELECT date_trunc('month', created_at)::TIMESTAMP AS month, {KIND} AS type, count(*) AS edges FROM edges GROUP BY 1, 2"
+SQL["stream_windows"] = rf"SELECT date_trunc('day', created_at)::TIMESTAMP AS day, {KIND} AS type, count(*) AS edges FROM edges WHERE created_at IS NOT NULL AND regexp_matches(target, '\S') GROUP BY 1, 2"
 SQL["mock_embedding"] = BASE + "SELECT id, CASE WHEN semantic_summary <> '' THEN 64 END AS dimensions FROM n WHERE type IN ('function', 'method', 'struct', 'interface')"
 #: lines that begin a function outside comments and raw strings, in the last delivery of each file
 SQL["go_functions"] = r"""

@@ -22,13 +22,13 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -
 
 def edge_counts(edges: DataFrame, window: str = "1 day", late: str = "7 days") -> DataFrame:
     """Edges by type and window of created_at; rows later than ``late`` behind the newest are not counted."""
-    typed = edges.where(present(F.col("target"))).select("created_at", canonical_type(F.col("type")).alias("type"))
+    typed = edges.where(present(F.col("target"))).select(F.col("created_at").cast("timestamp").alias("created_at"), canonical_type(F.col("type")).alias("type"))
     return typed.withWatermark("created_at", late).groupBy(F.window("created_at", window), "type").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def first_deliveries(edges: DataFrame, late: str = "7 days") -> DataFrame:
     """Rows without repeated deliveries within the watermark; state older than it is dropped."""
-    return edges.withWatermark("created_at", late).dropDuplicatesWithinWatermark([c for c in edges.columns if c != "metadata"])
+    return edges.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late).dropDuplicatesWithinWatermark([c for c in edges.columns if c != "metadata"])
 
 
 def upsert_nodes(store: GraphStore, workspace_of: str = "workspace") -> Callable[[DataFrame, int], None]:

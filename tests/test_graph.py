@@ -78,6 +78,11 @@ def test_paths(g):
     assert paths.path_goroutines(g, "Fn1", "Fn4").count() == 4
 
 
+def test_reach_gives_paths(g):
+    got = paths.reachable(g, F.col("label") == "Fn1", F.col("label").isin("Fn4", "Fn1"), 5).collect()
+    assert [(r["node"], r["distance"], r["path"]) for r in got] == [("f4", 3, ["f1", "f2", "f3", "f4"])]
+
+
 def test_impact(g):
     assert col(impact.impact_delete(g, "f2"), "affectedNode", "dependency_type") == [("f1", "calls")]
     assert col(impact.find_implementers(g, "Sink"), "name") == [("Store",)]
