@@ -167,3 +167,17 @@ def test_external(spark):
     paths = ["main", "fmt", "net/http", "github.com/a/b", "golang.org/x/y", "shop/store", "gopkg.in/yaml"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", external(F.col("p"), "shop").alias("e")).collect()
     assert {r["p"]: r["e"] for r in rows} == {"main": False, "fmt": True, "net/http": False, "github.com/a/b": True, "golang.org/x/y": True, "shop/store": False, "gopkg.in/yaml": True}
+
+
+def test_promotion_through_deep_embedding(spark, tmp_path):
+    """Methods climb through any number of embeddings, in structs and in interfaces; embedding in a ring ends."""
+    deep = 9
+    structs = "type S0 struct{}\n\nfunc (s S0) Go() error { return nil }\n\n" + "\n".join(f"type S{i} struct {{\n\tS{i - 1}\n}}\n" for i in range(1, deep))
+    faces = "type I0 interface {\n\tGo() error\n}\n\n" + "\n".join(f"type I{i} interface {{\n\tI{i - 1}\n}}\n" for i in range(1, deep))
+    ring = "type A struct {\n\t*B\n}\n\ntype B struct {\n\t*A\n}\n"
+    (tmp_path / "go.mod").write_text("module m\n")
+    (tmp_path / "a.go").write_text(f"package m\n\n{structs}\n{faces}\n{ring}")
+    edges = analyze_codebase(spark, str(tmp_path)).edges.where("type = 'implements'").select("source", "target").distinct().collect()
+    found = {(r["source"].rsplit(".", 1)[-1], r["target"].rsplit(".", 1)[-1]) for r in edges}
+    assert {(f"S{i}", f"I{j}") for i in range(deep) for j in range(deep)} <= found
+    assert not any(s in ("A", "B") and t.startswith("I") for s, t in found)
