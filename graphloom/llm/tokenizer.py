@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -17,6 +18,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,12 +264,21 @@ _encoders: dict[str, CorpusEncoder] = {}
 
 
 def encoder(path: str) -> CorpusEncoder:
-    """The encoder of this Python worker: kept from task to task."""
+    """The encoder of this Python worker: kept from task to task. Where ``path`` isn't on this machine, the file that
+    ``ship`` sent along is read."""
     if path not in _encoders:
-        _encoders[path] = CorpusEncoder(ByteBpe(path))
+        _encoders[path] = CorpusEncoder(ByteBpe(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))))
     return _encoders[path]
 
 
+def ship(df: DataFrame, path: str) -> str:
+    """Sends the rank file to the executors of a cluster, once; they need not have the folder."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local[") and os.path.exists(path) and not any(f.endswith("/" + os.path.basename(path)) for f in context.listFiles):
+        context.addFile(path)
+    return path
+
+
 def _groups(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list]]:
     """Slices of about ``most`` characters: what is worked on at once doesn't grow with the length of the texts."""
     values, at, held, size = texts.to_pylist(), 0, [], 0
@@ -288,7 +299,7 @@ def encode_texts(df: DataFrame, text: str, out: str = "ids", tokenizer: str = "b
     strings. Texts of any length are encoded whole. Rows, repeated ones too, stay as they are; a column that is already
     named ``out`` is replaced. No shuffle.
     """
-    path = f"{tokenizer_dir}/{tokenizer}.tiktoken"
+    path = ship(df, f"{tokenizer_dir}/{tokenizer}.tiktoken")
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +317,7 @@ def encode_texts(df: DataFrame, text: str, out: str = "ids", tokenizer: str = "b
 def decode_texts(df: DataFrame, ids: str, out: str = "text", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """``df`` with the text of a column of token ids in place of it. Null ids have a null text, an empty list an empty
     one; ids that do not add up to UTF-8 have replacement characters; unknown ids are an error."""
-    path = f"{tokenizer_dir}/{tokenizer}.tiktoken"
+    path = ship(df, f"{tokenizer_dir}/{tokenizer}.tiktoken")
     keep = [f for f in df.schema.fields if f.name not in (ids, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +333,7 @@ def decode_texts(df: DataFrame, ids: str, out: str = "text", tokenizer: str = "b
 
 def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """As ``encode_texts``, with the number of ids (bigint) only; null and empty texts have 0."""
-    path = f"{tokenizer_dir}/{tokenizer}.tiktoken"
+    path = ship(df, f"{tokenizer_dir}/{tokenizer}.tiktoken")
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
