@@ -64,12 +64,13 @@ class CodeGraph:
         from a scan instead of a fingerprint and a shuffle of all rows."""
         state = tuple(modified(spark, f"{sf_dir}/{t}.parquet") for t in ("nodes", "edges", "builtin_nodes"))
         key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in _cleaned or _cleaned[key][0] != state:
-            raw, cut = cls.load(spark, sf_dir), Scratch(spark, "graph", lasting=True).cut
-            nodes, _, _ = cut(raw.nodes.repartitionByRange("type", "id").sortWithinPartitions("type", "id"))
-            edges, _, _ = cut(raw.edges.repartitionByRange("type", "source").sortWithinPartitions("type", "source"))
-            _cleaned[key] = (state, cls(nodes, edges))
-        return _cleaned[key][1]
+        held = _cleaned.get(key)
+        if held is None or held[0] != state or not held[2].exists():
+            raw, scratch = cls.load(spark, sf_dir), Scratch(spark, "graph", lasting=True)
+            nodes, _, _ = scratch.cut(raw.nodes.repartitionByRange("type", "id").sortWithinPartitions("type", "id"))
+            edges, _, _ = scratch.cut(raw.edges.repartitionByRange("type", "source").sortWithinPartitions("type", "source"))
+            held = _cleaned[key] = (state, cls(nodes, edges), scratch)
+        return held[1]
 
     def workspace(self, name: str | None) -> CodeGraph:
         """The graph of one workspace; built-in nodes, which have none, belong to all. None keeps everything."""
@@ -110,7 +111,7 @@ class CodeGraph:
         return left.join(self._end("t", (), None), F.col("target") == F.col("t_id")).drop("source", "target")
 
 
-_cleaned: dict[tuple[str, str], tuple[tuple, CodeGraph]] = {}
+_cleaned: dict[tuple[str, str], tuple[tuple, CodeGraph, Scratch]] = {}
 
 
 def named(name: str, prefix: str = "") -> Column:

@@ -70,6 +70,11 @@ class Scratch:
         seen = {k: v or 0 for k, v in watch.get.items()} if watch else {}
         return self.spark.read.schema(df.schema).parquet(path), seen, path
 
+    def exists(self) -> bool:
+        """Whether the tables are still there; someone else may have emptied the folder."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def drop(self, path: str) -> None:
         _delete(self.spark, path)
 
