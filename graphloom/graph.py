@@ -60,15 +60,15 @@ class CodeGraph:
     @classmethod
     def cleaned(cls, spark: SparkSession, sf_dir: str) -> CodeGraph:
         """``load``, cleaned once a session and table version: the canonical tables are written to the shared folder, in
-        ranges of (type, id) and (type, source), so that a type filter prunes files and row groups, and queries start
-        from a scan instead of a fingerprint and a shuffle of all rows."""
+        ranges of (type, id) and (type, source, target), so that a type filter prunes files and row groups, a source or
+        target of many edges is split, and queries start from a scan instead of a fingerprint and a shuffle of all rows."""
         state = tuple(modified(spark, f"{sf_dir}/{t}.parquet") for t in ("nodes", "edges", "builtin_nodes"))
         key = (spark.sparkContext.applicationId, sf_dir)
         held = _cleaned.get(key)
         if held is None or held[0] != state or not held[2].exists():
             raw, scratch = cls.load(spark, sf_dir), Scratch(spark, "graph", lasting=True)
             nodes, _, _ = scratch.cut(raw.nodes.repartitionByRange("type", "id").sortWithinPartitions("type", "id"))
-            edges, _, _ = scratch.cut(raw.edges.repartitionByRange("type", "source").sortWithinPartitions("type", "source"))
+            edges, _, _ = scratch.cut(raw.edges.repartitionByRange("type", "source", "target").sortWithinPartitions("type", "source", "target"))
             held = _cleaned[key] = (state, cls(nodes, edges), scratch)
         return held[1]
 
