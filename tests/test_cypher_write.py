@@ -82,3 +82,24 @@ def test_store_keeps_workspaces_apart(spark, tmp_path):
     assert (again["embedded"], again["reused"]) == (0, 4)  # nothing changed, so every vector is kept
     s.clear_workspace("one")
     assert s.graph("one").nodes.isEmpty() and s.embeddings().count() == 3
+
+
+def test_questions_meet_stored_vectors(spark, tmp_path):
+    """Ingest embeds what it stores; a question then finds its nearest nodes, and goes to the router where nothing is stored."""
+    from graphloom.plans.tools import Tools
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "go.mod").write_text("module example.com/my-mod\n")
+    (src / "a.go").write_text("package main\n\n// Run starts it.\nfunc Run() { NewS() }\n\ntype S struct{}\n\nfunc NewS() *S { return &S{} }\n")
+    t = Tools(spark, GraphStore(spark, str(tmp_path / "store")), mock_provider(16), "mock")
+    first = t.run("analyze_workspace", workspacePath=str(src)).rows[0]
+    assert first["embedded"] == 3 + 21 and first["reused"] == 0  # the built-in types have summaries too
+    found = t.run("natural_query", question="what starts", workspace="my-mod")
+    assert found.text.startswith("Hybrid") and len(found.rows) == 10 and all(-1 <= r["score"] <= 1.000001 for r in found.rows)
+    assert t.run("natural_query", question="who calls Run", workspace="none").text.startswith("Pattern-based")
+    (src / "a.go").write_text("package main\n\n// Run starts it all.\nfunc Run() { NewS() }\n\ntype S struct{}\n\nfunc NewS() *S { return &S{} }\n")
+    again = t.run("analyze_workspace", workspacePath=str(src), incremental=True).rows[0]
+    assert (again["embedded"], again["reused"], again["updated"]) == (1, 23, again["nodes"])
+    by_vector = t.run("cypher_query", query="CALL db.index.vector.queryNodes('code', 1, $v) YIELD node, score RETURN node.label AS l", workspace="my-mod", parameters={"v": mock_provider(16)(["x"])[0]})
+    assert len(by_vector.rows) == 1
